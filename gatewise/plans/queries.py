@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewise.functions.risk import FEATURES, KINDS, RULES, RiskParams
 from gatewise.functions import text
-from gatewise.operators import audit, checks, contract, evaluate, features, sampling, scoring
+from gatewise.operators import audit, checks, contract, evaluate, features, models, sampling, scoring
 from gatewise.operators.clean import clean
 from gatewise.operators.features import FeatureParams
 from gatewise.operators.sampling import SampleSpec
 from gatewise.plans import sql
-from gatewise.session import prepare, scratch_dir
-from gatewise.sources import files
-from gatewise.sources.projection import read_logins
+from gatewise.session import cut_lineage, prepare, scratch_dir
+from gatewise.sources import files, normalize
+from gatewise.sources.projection import logins_from_events, read_logins
+from gatewise.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -784,3 +785,287 @@ def _(spark, sf):
     # the second build sees its rows in another order and partitioning
     again = sampling.sample_events(events.repartition(5, "ip"), SPEC)
     return contract.rebuild_differences(sampling.sample_events(events, SPEC), again)
+
+
+# --------------------------------------------------------------------- live path
+
+def _login_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return clean(logins_from_events(live.replay_source(spark, sf_dir, schema, "events.parquet")))
+
+
+def _live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything is learned, so the stream must equal the batch features."""
+    scores = live.live_scores(_login_stream(spark, sf_dir), live.LiveParams(risk=RISK))
+    return live.run_to_table(scores, scratch_dir(spark, "live"))
+
+
+@query("stream_features", sql.with_(sql.features(), f"select row_id, {', '.join(FEATURES)} from features"))
+def _(spark, sf):
+    return _live_table(spark, sf).select("row_id", *FEATURES)
+
+
+@query("stream_alerts", sql.with_(sql.scores(), """
+select row_id, user_id, ts, score, level, colour, decision, reasons from scored where decision <> 'allow'"""))
+def _(spark, sf):
+    scores = live.live_scores(_login_stream(spark, sf), live.LiveParams(risk=RISK))
+    return live.run_to_table(live.alerts(scores), scratch_dir(spark, "alerts"))
+
+
+def _window_sql(minutes: int, slide: int) -> str:
+    return sql.with_(f"""{sql.scores()},
+s as (select decision, time_bucket(interval {slide} minute, ts) - interval (unnest(range({minutes // slide})) * {slide}) minute as a
+  from scored)""", f"""
+select a as window_start, a + interval {minutes} minute as window_end, decision, count(*) as events from s group by all""")
+
+
+def _totals(spark, sf, length, slide=None):
+    path = scratch_dir(spark, "scored")
+    scored(spark, sf).select("row_id", "user_id", "ts", "decision").write.parquet(path)
+    table = spark.read.parquet(path)
+    stream = live.replay_source(spark, path, table.schema, files_per_trigger=1000)
+    totals = live.decision_totals(stream, length, slide)
+    return live.run_counts(totals, scratch_dir(spark, "totals"))
+
+
+@query("stream_decision_totals", _window_sql(60, 60))
+def _(spark, sf):
+    return _totals(spark, sf, "1 hour")
+
+
+@query("stream_decision_totals_sliding", _window_sql(60, 15))
+def _(spark, sf):
+    return _totals(spark, sf, "1 hour", "15 minutes")
+
+
+@query("stream_sessions", sql.with_(f"""{sql.scores()},
+g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as opens
+  from scored),
+n as (select *, sum(opens) over (partition by user_id order by ts, row_id) as session from g)""", """
+select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as events,
+ count(*) filter (where decision <> 'allow') as not_allowed from n group by user_id, session"""))
+def _(spark, sf):
+    path = scratch_dir(spark, "scored")
+    scored(spark, sf).select("row_id", "user_id", "ts", "decision").write.parquet(path)
+    stream = live.replay_source(spark, path, spark.read.parquet(path).schema, files_per_trigger=1000)
+    return live.run_counts(live.login_sessions(stream), scratch_dir(spark, "sessions"))
+
+
+@query("stream_profiles", sql.with_(sql.clean(), """
+select user_id, count(distinct country) as countries, count(distinct device_type) as devices, count(*) as events,
+ count(*) filter (where not login_success) as failures, min(ts) as first_seen, max(ts) as last_seen from clean group by user_id"""))
+def _(spark, sf):
+    return live.run_profiles(_login_stream(spark, sf), scratch_dir(spark, "profiles"))
+
+
+@query("stream_accepted_only")
+def _(spark, sf):
+    policy = live.LearnPolicy(everything=False)
+    people, machines = live.route(_login_stream(spark, sf))
+    scores = live.live_scores(people, live.LiveParams(risk=RISK, policy=policy))
+    both = scores.unionByName(live.stateless_scores(machines, RISK))
+    table = live.run_to_table(both, scratch_dir(spark, "live"))
+    return table.select("row_id", "user_id", "score", "level", "decision", "learned")
+
+
+# ------------------------------------------------------------------------ models
+
+def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by time over all feature rows, written once as a fit reads them often."""
+    path = scratch_dir(spark, "folds") + ".parquet"
+    rows = scoring.with_gold(featured(spark, sf_dir))
+    sampling.split_by_time(rows).write.parquet(path)
+    table = spark.read.parquet(path)
+    return table.where("fold = 'train'").drop("fold"), table.where("fold = 'test'").drop("fold")
+
+
+_PRIOR = f"""{sql.scores()}, {_TIME_CUT},
+tr as (select * from scored where ts < (select cut_ts from cut)),
+te as (select * from scored where ts >= (select cut_ts from cut)),
+m as (select ip, avg(case when is_gold then 1.0 else 0.0 end) as p from tr group by ip),
+prior as (select te.* exclude (score), coalesce(p, (select avg(case when is_gold then 1.0 else 0.0 end) from tr)) as score
+  from te left join m using (ip))"""
+
+
+@query("ip_prior", sql.with_(_PRIOR, "select row_id, score, is_gold from prior"))
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    return models.ip_prior(train, test).select("row_id", "score", "is_gold")
+
+
+@query("ip_prior_confusion", sql.with_(f"""{_PRIOR},
+k as (select count(*) filter (where score >= 0.5 and is_gold) as tp, count(*) filter (where score >= 0.5 and not is_gold) as fp,
+ count(*) filter (where score < 0.5 and is_gold) as fn, count(*) filter (where score < 0.5 and not is_gold) as tn from prior)""",
+    f"select *, {sql.rates()} from k"))
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    return evaluate.confusion(models.ip_prior(train, test), F.col("score") >= 0.5, _gold())
+
+
+@query("train_attack_share", sql.with_(f"{sql.clean()}, {_TIME_CUT}", """
+select count(*) as rows, count(*) filter (where is_attack_ip) as positives,
+ cast(count(*) filter (where is_attack_ip) as double) / count(*) as share from clean where ts < (select cut_ts from cut)"""))
+def _(spark, sf):
+    folds = sampling.split_by_time(cleaned(spark, sf))
+    return models.train_share(folds.where("fold = 'train'"))
+
+
+_SCORED = ("row_id", "is_gold", "is_ato", "score")
+
+
+@query("model_logistic")
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    return models.score_supervised(models.fit_logistic(train), test).select(*_SCORED)
+
+
+@query("model_boosting")
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    return models.score_supervised(models.fit_boosting(train), test).select(*_SCORED)
+
+
+@query("model_isolation_forest")
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    # anomaly models learn from rows without an attack flag
+    forest = models.fit_isolation_forest(train.where("not is_attack_ip"))
+    return models.score_isolation_forest(forest, test).select(*_SCORED)
+
+
+@query("model_local_outlier_factor")
+def _(spark, sf):
+    _, test = _folds(spark, sf)
+    return models.local_outlier_factor(test).select(*_SCORED)
+
+
+@query("model_envelope")
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    # the gate skips skewed features; this run lifts it to show distances
+    env = models.fit_envelope(train.where("not is_attack_ip"), max_skew=float("inf"))
+    return models.score_envelope(env, test).select(*_SCORED)
+
+
+@query("model_comparison")
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    quiet = train.where("not is_attack_ip")
+    stacked = models.stack_scores(
+        rules=scoring.score_events(test, RISK).withColumn("score", F.col("score").cast("double")).select(*_SCORED),
+        ip_prior=models.ip_prior(train, test).withColumn("score", F.round("score", 4)).select(*_SCORED),
+        logistic=models.score_supervised(models.fit_logistic(train), test).select(*_SCORED),
+        boosting=models.score_supervised(models.fit_boosting(train), test).select(*_SCORED),
+        isolation_forest=models.score_isolation_forest(models.fit_isolation_forest(quiet), test).select(*_SCORED),
+    )
+    stacked = cut_lineage(stacked)
+    mean = models.averaged_score(stacked, "is_gold", "is_ato").withColumn("model", F.lit("average"))
+    everything = stacked.unionByName(mean)
+    return evaluate.compare_models(everything, {"gold": F.col("is_gold"), "ato": F.col("is_ato")})
+
+
+@query("model_comparison_rules", sql.with_(f"""{sql.scores()}, {_TIME_CUT},
+te as (select * from scored where ts >= (select cut_ts from cut)), {sql.curve(source="te")},
+h as (select score, count(*) filter (where is_gold) as pos, count(*) filter (where not is_gold) as neg from te group by score),
+a as (select sum(case when p.score > n.score then 1.0 when p.score = n.score then 0.5 else 0 end * cast(p.pos as double) * n.neg)
+ / cast(sum(p.pos * n.neg) as double) as auc from h p, h n)""", """
+select 'rules' as model, 'gold' as label, curve.*, auc from curve, a where fpr <= 0.05
+order by coalesce(f1, -1) desc, threshold desc limit 1"""))
+def _(spark, sf):
+    folds = sampling.split_by_time(scored(spark, sf)).where("fold = 'test'").withColumn("model", F.lit("rules"))
+    return evaluate.compare_models(cut_lineage(folds.select("model", "score", "is_gold")), {"gold": _gold()})
+
+
+# ------------------------------------------------------------------- log sources
+
+def _stamp(pattern: str):
+    return F.date_format("ts", pattern)
+
+
+def _log_lines(events: DataFrame, source: str) -> DataFrame:
+    """Log records of one system for every clean event, in that system's format."""
+    c = F.col
+    user = F.concat(F.lit("user"), c("user_id").cast("string"))
+    iso = F.concat(_stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    ok = c("login_success")
+    lines = {
+        "web": lambda: F.to_json(F.struct(
+            user.alias("user"), iso.alias("time"), "ip", "country", c("device_type").alias("device"),
+            c("browser_family").alias("browser"), c("os_family").alias("os"),
+            F.when(ok, "success").otherwise("failure").alias("status"))),
+        "ssh": lambda: F.concat(
+            F.regexp_replace(_stamp("MMM dd HH:mm:ss"), "^(.{3}) 0", "$1  "), F.lit(" server sshd["), c("row_id").cast("string"),
+            F.lit("]: "), F.when(ok, "Accepted").otherwise("Failed"), F.lit(" password for "), user,
+            F.lit(" from "), c("ip"), F.lit(" port 22 ssh2")),
+        "directory": lambda: F.to_json(F.struct(
+            F.when(ok, 4624).otherwise(4625).alias("EventID"), iso.alias("TimeCreated"),
+            F.struct(user.alias("TargetUserName"), c("ip").alias("IpAddress"),
+                     F.coalesce("device_raw", F.lit("-")).alias("WorkstationName")).alias("EventData"))),
+        "vpn": lambda: F.concat(
+            F.lit("date="), _stamp("yyyy-MM-dd"), F.lit(" time="), _stamp("HH:mm:ss"), F.lit(' user="'), user,
+            F.lit('" remip='), c("ip"), F.lit(' srccountry="'), c("country"), F.lit('" action="'),
+            F.when(ok, "tunnel-up").otherwise("ssl-login-fail"), F.lit('"')),
+        "cloud": lambda: F.to_json(F.struct(
+            F.lit("ConsoleLogin").alias("eventName"), iso.alias("eventTime"), c("ip").alias("sourceIPAddress"),
+            c("user_agent").alias("userAgent"), F.struct(user.alias("userName")).alias("userIdentity"),
+            F.struct(F.when(ok, "Success").otherwise("Failure").alias("ConsoleLogin")).alias("responseElements"))),
+        "sign_in": lambda: F.to_json(F.struct(
+            iso.alias("createdDateTime"), user.alias("userPrincipalName"), c("ip").alias("ipAddress"),
+            F.struct(c("country").alias("countryOrRegion")).alias("location"),
+            F.struct(F.when(ok, 0).otherwise(50126).alias("errorCode")).alias("status"),
+            F.struct(c("device_type").alias("displayName"), c("os_family").alias("operatingSystem"),
+                     c("browser_family").alias("browser")).alias("deviceDetail"))),
+        "database": lambda: F.concat_ws(
+            ",", _stamp("yyyyMMdd HH:mm:ss"), F.lit("db1"), user, c("ip"), c("row_id").cast("string"), F.lit("0"),
+            F.when(ok, "CONNECT").otherwise("FAILED_CONNECT"), F.lit("app"), F.lit(""), F.when(ok, "0").otherwise("1045")),
+    }
+    return events.select(lines[source]().alias("value"))
+
+
+_READERS = {
+    "web": (lambda v: normalize.web_logins(v), "web", "country", "device_type", "browser_family", "os_family"),
+    "ssh": (lambda v: normalize.ssh_logins(v, 2024), "ssh", "null", "null", "null", "null"),
+    "directory": (lambda v: normalize.directory_logins(v), "active_directory", "null", "device_raw", "null", "'Windows'"),
+    "vpn": (lambda v: normalize.vpn_logins(v), "vpn", "country", "null", "null", "null"),
+    "cloud": (lambda v: normalize.cloud_console_logins(v), "cloud_console", "null", "ua_device", "null", "ua_os"),
+    "sign_in": (lambda v: normalize.signin_logins(v), "sign_in", "country", "device_type", "browser_family", "os_family"),
+    "database": (lambda v: normalize.database_logins(v), "database", "null", "null", "null", "null"),
+}
+
+
+def _source_sql(name: str) -> str:
+    _, label, country, device, browser, os = _READERS[name]
+    text_or = lambda e: f"cast({e} as varchar)"
+    return f"""select 'user' || cast(user_id as varchar) as user_id, date_trunc('second', ts) as ts, ip as source_ip,
+ {text_or(country)} as country, {text_or(device)} as device, {text_or(browser)} as browser, {text_or(os)} as os,
+ login_success as success, '{label}' as auth_source from src"""
+
+
+# OS and device of an agent alone: the raw OS and device columns are left out
+_SRC = f"""{sql.clean()},
+alone as (select ua, os_family as ua_os, device_type as ua_device from (
+  select ua, {sql._os_case('documented')} as os_family, {sql._device_case('documented')} as device_type
+  from (select distinct ua, cast(null as varchar) as os, cast(null as varchar) as device from logins))),
+src as (select clean.*, ua_os, ua_device from clean join alone on alone.ua = clean.user_agent)"""
+
+
+def _source_query(name: str):
+    @query(f"normalize_{name}", sql.with_(_SRC, _source_sql(name)))
+    def _(spark, sf):
+        return _READERS[name][0](_log_lines(cleaned(spark, sf), name))
+
+
+for _name in _READERS:
+    _source_query(_name)
+
+
+@query("normalize_all", sql.with_(_SRC, f"""
+select auth_source, count(*) as events, count(distinct user_id) as users, count(*) filter (where success) as successes,
+ min(ts) as first_ts from ({' union all '.join(_source_sql(n) for n in _READERS)}) group by auth_source"""))
+def _(spark, sf):
+    events = cleaned(spark, sf)
+    parts = [_READERS[n][0](_log_lines(events, n)) for n in _READERS]
+    return normalize.union_sources(*parts).groupBy("auth_source").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"),
+        F.count_if("success").alias("successes"), F.min("ts").alias("first_ts"),
+    )
