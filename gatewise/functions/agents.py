@@ -4,7 +4,7 @@ Two profiles: ``shipped`` reads bare substrings, ``documented`` adds token
 boundaries, KaiOS, the legacy systems and the corrected device order. Keywords
 are searched in a lower-cased copy of the text with ``contains``: that runs on
 bytes inside generated code and is several times cheaper than a regex per rule.
-A regex is evaluated only for rows that already hold the keyword.
+Whole tokens use a regex that starts with the literal.
 """
 
 from __future__ import annotations
@@ -93,17 +93,22 @@ DESKTOP_MARKERS = ("Windows NT", "Macintosh", "Mac_PowerPC", "X11", "CrOS")
 
 
 def has_any(lowered: Column, words: tuple[str, ...], whole_token: bool = False) -> Column:
-    """Whether a lower-cased text holds one of the words, case-insensitively."""
-    found = reduce(lambda a, b: a | b, [lowered.contains(w.lower()) for w in words])
-    if not whole_token:
-        return found
-    bounded = lowered.rlike(token_pattern(tuple(w.lower() for w in words)))
-    return found & bounded
+    """Whether a lower-cased text holds one of the words, case-insensitively.
 
+    ``whole_token`` wants no letter or digit on either side of the word.
+    """
+    test = (lambda w: lowered.rlike(token_pattern(w))) if whole_token else lowered.contains
+    return reduce(lambda a, b: a | b, [test(w.lower()) for w in words])
 
-def token_pattern(words: tuple[str, ...]) -> str:
-    """The words as whole tokens: no letter or digit on either side."""
-    return rf"(^|[^A-Za-z0-9])({'|'.join(words)})($|[^A-Za-z0-9])"
+
+def token_pattern(word: str) -> str:
+    """The word as a whole token.
+
+    The literal comes first and the look-behind after it, so the regex engine skips
+    through the text with its literal search; a leading boundary group is some
+    twenty times slower.
+    """
+    return rf"{word}(?<![a-z0-9]{word})(?![a-z0-9])"
 
 
 def generator_bot(ua_lc: Column, profile: str) -> Column:

@@ -14,15 +14,15 @@ RTT_LIMIT_MS = 60000.0
 _TS_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,6})?\s*\z"
 
 # A blank-delimited token that is only a version, e.g. 85.0.4183, 11_6_3,
-# 3.0.0-git or variation/277. The look-arounds bind it to blanks, not to \b.
-_VERSION_TOKEN = r"(?i)(?<![^ ])(?:[0-9]+(?:[._-][0-9]+)*(?:-git)?|variation/[0-9]+)(?![^ ])"
+# 3.0.0-git or variation/277, with the blanks before it.
+_VERSION_TOKEN = r"(?i)(?:^| +)(?:[0-9]++(?:[._-][0-9]++)*+(?:-git)?|variation/[0-9]++)(?![^ ])"
 
 
 def to_long(text: Column) -> Column:
     """Text to bigint; fractions round half away from zero, exponents are accepted."""
-    # the integer fast path keeps the decimal arithmetic off the common case
+    # a plain integer never reaches the decimal arithmetic
     wide = F.round(text.try_cast("decimal(38,18)")).try_cast("bigint")
-    return F.coalesce(F.when(text.rlike(r"^-?[0-9]{1,18}\z"), text.try_cast("bigint")), wide)
+    return F.coalesce(text.try_cast("bigint"), wide)
 
 
 def to_timestamp_ntz(text: Column) -> Column:
@@ -53,8 +53,8 @@ def rtt_is_outlier(text: Column) -> Column:
 
 def strip_versions(name: Column) -> Column:
     """Browser name without version tokens; a versions-only name becomes ``''``."""
-    without = F.regexp_replace(name, _VERSION_TOKEN, "")
-    return F.trim(F.regexp_replace(without, " {2,}", " "))
+    left = F.trim(F.regexp_replace(name, _VERSION_TOKEN, ""))
+    return F.when(left.contains("  "), F.regexp_replace(left, " {2,}", " ")).otherwise(left)
 
 
 def is_private_ip(ip: Column) -> Column:

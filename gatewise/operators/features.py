@@ -31,7 +31,9 @@ from gatewise.session import cut_lineage
 _HOUR_US = 3600 * 1_000_000
 # Slot widths in seconds. All divide an hour, so a slot lies in one hour and one day.
 _SLOT_SECONDS = (3600, 1800, 900, 600, 300, 120, 60, 30, 10, 5, 1)
-_EVENT, _EXPIRY, _STATE = "event", "expiry", "state"
+# Row codes; a carried value has the code of its kind.
+_EVENT, _EXPIRY, _STATE = 0, 1, 2
+_CARRIED = {kind: 3 + i for i, kind in enumerate(KINDS)}
 
 
 @dataclass(frozen=True)
@@ -125,13 +127,14 @@ def _carry_rows(placed: DataFrame, params: FeatureParams) -> DataFrame:
         so_far(c("n")).alias("_n"),
         so_far(c("n") - c("gone")).alias("_alive"),
         F.max("_failed_us").over(earlier).alias("_failed_us"),
-        so_far(c("n"), "_date").alias("_today"),
+        # events before the slot's day began
+        (so_far(c("n")) - so_far(c("n"), "_date")).alias("_before_day"),
         so_far(c("n"), "_hour").alias("_same_hour"),
     )
 
     types = {f.name: f.dataType for f in placed.schema.fields}
     pairs = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), c(col).cast("string").alias("value"))
+        F.struct(F.lit(_CARRIED[kind]).alias("kind"), c(col).cast("string").alias("value"))
         for kind, col in KINDS.items()
     ])
     firsts = (
@@ -145,7 +148,7 @@ def _carry_rows(placed: DataFrame, params: FeatureParams) -> DataFrame:
         firsts.withColumn("_us", ever).where(c("_us") < c("here"))
         .select(
             "user_id", "_slot", "_row", "_us",
-            *[F.when(c("_row") == k, c("_value")).cast(types[col]).alias(col) for k, col in KINDS.items()],
+            *[F.when(c("_row") == _CARRIED[k], c("_value")).cast(types[col]).alias(col) for k, col in KINDS.items()],
         )
     )
     return state.unionByName(known, allowMissingColumns=True)
@@ -168,38 +171,50 @@ def behaviour_features(
         *events.columns, "_us", "_slot", "_failed_us", "user_rows",
         F.lit(_EVENT).alias("_row"),
         F.to_date("ts").alias("_date"), F.hour("ts").alias("_hour"),
-        counts.alias("_n"), counts.alias("_alive"), counts.alias("_today"), counts.alias("_same_hour"),
+        counts.alias("_n"), counts.alias("_alive"), counts.alias("_same_hour"),
     )
+    later = c("_us") + params.risk.burst_us
     expiries = placed.where(c("_us").isNotNull()).select(
-        "user_id", _expiry_slot(params.risk.burst_us).alias("_slot"),
-        (c("_us") + params.risk.burst_us).alias("_us"),
-        F.lit(_EXPIRY).alias("_row"), F.lit(-1).cast("bigint").alias("_alive"),
+        "user_id", _expiry_slot(params.risk.burst_us).alias("_slot"), later.alias("_us"),
+        F.lit(_EXPIRY).alias("_row"), F.to_date(F.timestamp_micros(later)).alias("_date"),
+        F.lit(-1).cast("bigint").alias("_alive"),
     )
     rows = arrivals.unionByName(expiries, allowMissingColumns=True).unionByName(
         _carry_rows(placed, params), allowMissingColumns=True
-    )
-
-    def before(*within: str) -> W:
-        win = W.partitionBy("user_id", "_slot", *within).orderBy("_us")
-        return win.rangeBetween(W.unboundedPreceding, -1)
+    ).withColumn("_group", F.xxhash64("user_id", "_slot"))
 
+    # A hash leads every partition key: Spark's sorter compares the first eight bytes of
+    # a row before anything else, and a dominant user's rows all agree on the user id.
+    # The plain columns follow, so two groups with one hash stay apart.
+    group = W.partitionBy("_group", "user_id", "_slot")
+    before = group.orderBy("_us").rangeBetween(W.unboundedPreceding, -1)
     swept = rows.select(
         *rows.columns,
-        F.sum("_n").over(before()).alias("_prior"),
-        F.sum("_alive").over(before()).alias("_in_burst"),
-        F.max("_failed_us").over(before()).alias("_last_failure"),
-    ).where(c("_row") != _EXPIRY)
-    swept = swept.select(
-        *swept.columns,
-        F.sum("_today").over(before("_date")).alias("_today_before"),
-        F.sum("_same_hour").over(before("_hour")).alias("_hour_before"),
-    ).where(c("_row") != _STATE)
+        F.sum("_n").over(before).alias("_prior"),
+        F.sum("_alive").over(before).alias("_in_burst"),
+        F.max("_failed_us").over(before).alias("_last_failure"),
+        F.lag("_date").over(group.orderBy("_us")).alias("_last_date"),
+    )
+    # The day only moves forward in this order: today's count is the running count minus
+    # its value at the day's first row, and needs no sort by day.
+    opens = F.coalesce(c("_prior"), F.lit(0))
+    day_start = F.when(c("_row") == _STATE, c("_before_day")).when(
+        ~c("_date").eqNullSafe(c("_last_date")), opens
+    )
+    running = group.orderBy("_us").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = swept.withColumn("_opened", day_start).withColumn(
+        "_today_before", opens - F.last("_opened", ignorenulls=True).over(running)
+    ).where(c("_row") != _EXPIRY).drop("_last_date", "_opened", "_n", "_alive", "_failed_us", "_before_day", "_date")
+    by_hour = W.partitionBy("_group", "user_id", "_slot", "_hour").orderBy("_us")
+    swept = swept.withColumn(
+        "_hour_before", F.sum("_same_hour").over(by_hour.rangeBetween(W.unboundedPreceding, -1))
+    ).where(c("_row") != _STATE).drop("_same_hour", "_hour")
     for kind, col in KINDS.items():
-        counted = F.when((c("_row") == _EVENT) | (c("_row") == kind), c("_us"))
-        first = F.min(counted).over(W.partitionBy("user_id", "_slot", col))
-        swept = swept.withColumn(f"_first_{kind}", first)
+        counted = F.when((c("_row") == _EVENT) | (c("_row") == _CARRIED[kind]), c("_us"))
+        value = W.partitionBy("_key", "_group", "user_id", "_slot", col)
+        swept = swept.withColumn("_key", F.xxhash64("_group", col)).withColumn(f"_first_{kind}", F.min(counted).over(value))
     if keep_counts:
-        in_slot = F.count_if(c("_row") == _EVENT).over(W.partitionBy("user_id", "_slot"))
+        in_slot = F.count_if(c("_row") == _EVENT).over(group)
         swept = swept.withColumn("user_rows", F.coalesce(c("user_rows"), in_slot))
 
     made = {

@@ -11,6 +11,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # The JVM never compiles a method above 8000 bytes of bytecode. The cleaning
+    # projection exceeds that as one generated method; below this limit Spark splits it.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
