@@ -201,47 +201,56 @@ def _standardised(features: DataFrame) -> tuple[DataFrame, list[str]]:
     return base.select(ids, "w", *FEATURES, *cols), zs
 
 
+def _blocks(vectors: DataFrame, along: Column, size: int) -> DataFrame:
+    """Rows with ``_block``: half-overlapping runs of ``size`` rows in the order of ``along``.
+
+    Ranks come from a histogram of grid cells plus the rank inside a cell, so the
+    blocks are the same on every run and no task sorts the table.
+    """
+    c = F.col
+    half = size // 2
+    placed = vectors.withColumn("_p", along).withColumn("_cell", F.floor(c("_p") * 1024))
+    # one row per occupied cell of a fixed grid
+    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
+    below = W.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = cells.select("_cell", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_cell").orderBy("_p", "vid")) - 1
+    run = F.floor((c("_start") + inside) / half)
+    ranked = placed.join(starts, "_cell").withColumn("_run", run)
+    both = F.array_compact(F.array(c("_run"), F.when(c("_run") > 0, c("_run") - 1)))
+    return ranked.select(*vectors.columns, F.explode(both).alias("_block"))
+
+
 def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, block: int) -> DataFrame:
     """(vid, nid, d, nw): near neighbours found inside blocks of projection-sorted vectors.
 
-    For each random direction the vectors are range-partitioned and sorted by their
-    projection, then read in half-overlapping blocks of fixed size. A block yields the
-    k nearest of each member, so nothing grows with a dense region: it is cut into more
-    blocks. Vectors are distinct, so copies cannot crowd out other neighbours.
+    For each random direction the vectors are cut into blocks of a fixed number of
+    rows along their projection. A block yields the k nearest of each member, so nothing
+    grows with a dense region: it is cut into more blocks. Vectors are distinct, so
+    copies cannot crowd out other neighbours.
     """
     rng = np.random.default_rng(11)
-    half = block // 2
 
     def nearest(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("vid")
         x = chunk[zs].to_numpy(dtype=float)
         sq = (x * x).sum(axis=1)
         d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))
         np.fill_diagonal(d, np.inf)
         m = min(k, len(chunk) - 1)
-        idx = np.argpartition(d, m - 1, axis=1)[:, :m]
+        idx = np.argsort(d, axis=1, kind="stable")[:, :m]
         rows = np.repeat(np.arange(len(chunk)), m)
         cols = idx.ravel()
         vid, w = chunk.vid.to_numpy(), chunk.w.to_numpy()
         return pd.DataFrame({"vid": vid[rows], "nid": vid[cols], "d": d[rows, cols], "nw": w[cols]})
 
-    def blocks(batches):
-        held = None
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            while len(held) >= block:
-                yield nearest(held.iloc[:block])
-                held = held.iloc[half:].reset_index(drop=True)
-        if held is not None and len(held) > 1:
-            yield nearest(held)
-
     found = None
     for _ in range(projections):
         direction = rng.normal(size=len(zs))
         along = reduce(lambda a, b: a + b, [F.col(z) * float(c) for z, c in zip(zs, direction)])
         part = (
-            vectors.select("vid", "w", *zs, along.alias("_p"))
-            .repartitionByRange("_p").sortWithinPartitions("_p", "vid")
-            .mapInPandas(blocks, "vid bigint, nid bigint, d double, nw double")
+            _blocks(vectors.select("vid", "w", *zs), along, block).groupBy("_block")
+            .applyInPandas(nearest, "vid bigint, nid bigint, d double, nw double")
         )
         found = part if found is None else found.union(part)
     # a pair may be found in several blocks; at most 2 * projections * k rows per vector
