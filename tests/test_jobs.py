@@ -83,12 +83,12 @@ def test_duplicates_and_dependency(spark):
     assert (f.keys_total, f.keys_mixed, f.rows_mixed) == (3, 1, 2)
 
 
-def feature_rows(spark, n=300, odd=3):
+def feature_rows(spark, p=0.5, n=300, odd=3):
     rng = np.random.default_rng(2)
     rows = []
     for i in range(n):
         strange = i < odd
-        values = {f: bool(rng.random() < 0.5) for f in FEATURES} if not strange else {f: False for f in FEATURES}
+        values = {f: bool(rng.random() < p) for f in FEATURES} if not strange else {f: False for f in FEATURES}
         values |= {"hour": int(rng.integers(8, 18)), "rapid_login_rate": int(rng.integers(0, 3)),
                    "login_frequency_today": int(rng.integers(0, 9))}
         if strange:
@@ -130,7 +130,7 @@ def test_lof_equals_exact_when_one_block_holds_all(spark):
 
 
 def test_anomaly_models_rank_odd_rows_high(spark):
-    df = feature_rows(spark)
+    df = feature_rows(spark, p=0.0)
     forest = models.fit_isolation_forest(df, trees=32, sample_size=64)
     env = models.fit_envelope(df, max_skew=100.0)
     assert models.fit_envelope(df, max_skew=2.0).skipped
@@ -139,7 +139,7 @@ def test_anomaly_models_rank_odd_rows_high(spark):
         rows = out.collect()
         odd = [r.score for r in rows if r.row_id < 3]
         usual = sorted(r.score for r in rows if r.row_id >= 3)
-        assert len(rows) == 300 and min(odd) > usual[len(usual) // 2] and max(odd) > usual[-10]
+        assert len(rows) == 300 and min(odd) > usual[len(usual) // 2] and max(odd) > usual[-5]
 
 
 def test_supervised_and_average(spark):
