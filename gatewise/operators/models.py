@@ -201,24 +201,27 @@ def _standardised(features: DataFrame) -> tuple[DataFrame, list[str]]:
     return base.select(ids, "w", *FEATURES, *cols), zs
 
 
-def _blocks(vectors: DataFrame, along: Column, size: int) -> DataFrame:
-    """Rows with ``_block``: half-overlapping runs of ``size`` rows in the order of ``along``.
+def _blocks(vectors: DataFrame, directions: list[Column], size: int) -> DataFrame:
+    """Rows with (_dir, _block): half-overlapping runs of ``size`` rows along each direction.
 
     Ranks come from a histogram of grid cells plus the rank inside a cell, so the
     blocks are the same on every run and no task sorts the table.
     """
     c = F.col
     half = size // 2
-    placed = vectors.withColumn("_p", along).withColumn("_cell", F.floor(c("_p") * 1024))
+    along = F.array(*[F.struct(F.lit(i).alias("i"), d.alias("p")) for i, d in enumerate(directions)])
+    placed = vectors.select("*", F.explode(along).alias("_a")).select(
+        *vectors.columns, c("_a.i").alias("_dir"), c("_a.p").alias("_p"), F.floor(c("_a.p") * 1024).alias("_cell")
+    )
     # one row per occupied cell of a fixed grid
-    cells = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"))
-    below = W.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = cells.select("_cell", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_cell").orderBy("_p", "vid")) - 1
-    run = F.floor((c("_start") + inside) / half)
-    ranked = placed.join(starts, "_cell").withColumn("_run", run)
+    cells = placed.groupBy("_dir", "_cell").agg(F.count(F.lit(1)).alias("n"))
+    below = W.partitionBy("_dir").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    starts = cells.select("_dir", "_cell", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_dir", "_cell").orderBy("_p", "vid")) - 1
+    ranked = placed.withColumn("_inside", inside).join(starts, ["_dir", "_cell"])
+    ranked = ranked.withColumn("_run", F.floor((c("_start") + c("_inside")) / half))
     both = F.array_compact(F.array(c("_run"), F.when(c("_run") > 0, c("_run") - 1)))
-    return ranked.select(*vectors.columns, F.explode(both).alias("_block"))
+    return ranked.select(*vectors.columns, "_dir", F.explode(both).alias("_block"))
 
 
 def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, block: int) -> DataFrame:
@@ -244,15 +247,14 @@ def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, blo
         vid, w = chunk.vid.to_numpy(), chunk.w.to_numpy()
         return pd.DataFrame({"vid": vid[rows], "nid": vid[cols], "d": d[rows, cols], "nw": w[cols]})
 
-    found = None
-    for _ in range(projections):
-        direction = rng.normal(size=len(zs))
-        along = reduce(lambda a, b: a + b, [F.col(z) * float(c) for z, c in zip(zs, direction)])
-        part = (
-            _blocks(vectors.select("vid", "w", *zs), along, block).groupBy("_block")
-            .applyInPandas(nearest, "vid bigint, nid bigint, d double, nw double")
-        )
-        found = part if found is None else found.union(part)
+    directions = [
+        reduce(lambda a, b: a + b, [F.col(z) * float(c) for z, c in zip(zs, rng.normal(size=len(zs)))])
+        for _ in range(projections)
+    ]
+    found = (
+        _blocks(vectors.select("vid", "w", *zs), directions, block).groupBy("_dir", "_block")
+        .applyInPandas(nearest, "vid bigint, nid bigint, d double, nw double")
+    )
     # a pair may be found in several blocks; at most 2 * projections * k rows per vector
     return found.groupBy("vid", "nid").agg(F.min("d").alias("d"), F.first("nw").alias("nw"))
 
