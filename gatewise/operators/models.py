@@ -63,8 +63,25 @@ def _fit(estimator, train: DataFrame, label: str, scale: bool):
     return Pipeline(stages=[*stages, estimator]).fit(data.select("_label", *FEATURES))
 
 
-def fit_logistic(train: DataFrame, label: str = "is_gold", max_iter: int = 50):
-    return _fit(LogisticRegression(maxIter=max_iter, regParam=1e-4), train, label, scale=True)
+@dataclass(frozen=True)
+class Logistic:
+    """Weights per raw feature and intercept."""
+
+    weights: tuple[float, ...]
+    intercept: float
+
+
+def fit_logistic(train: DataFrame, label: str = "is_gold", max_iter: int = 50) -> Logistic:
+    """Logistic regression on standardised features, folded back to raw ones.
+
+    Scoring is then a plain expression in generated code, and the training summary,
+    which holds the session and cannot be sent to tasks, stays on the driver.
+    """
+    model = _fit(LogisticRegression(maxIter=max_iter, regParam=1e-4), train, label, scale=True)
+    scaler, regression = model.stages[1], model.stages[2]
+    mean, std = np.array(scaler.mean), np.array(scaler.std)
+    weights = np.divide(np.array(regression.coefficients), std, out=np.zeros_like(std), where=std > 0)
+    return Logistic(tuple(float(w) for w in weights), float(regression.intercept - weights @ mean))
 
 
 def fit_boosting(train: DataFrame, label: str = "is_gold", trees: int = 10, depth: int = 4):
@@ -75,6 +92,10 @@ def fit_boosting(train: DataFrame, label: str = "is_gold", trees: int = 10, dept
 def score_supervised(model, test: DataFrame) -> DataFrame:
     """Adds ``score``: probability of the positive class."""
     keep = [c for c in test.columns if c not in FEATURES]
+    if isinstance(model, Logistic):
+        terms = [F.col(f).cast("double") * w for f, w in zip(FEATURES, model.weights)]
+        odds = reduce(lambda a, b: a + b, terms, F.lit(model.intercept))
+        return test.select(*keep, F.round(1 / (1 + F.exp(-odds)), _DIGITS).alias("score"))
     predicted = model.transform(numeric(test))
     return predicted.select(*keep, F.round(vector_to_array("probability")[1], _DIGITS).alias("score"))
 

@@ -156,3 +156,15 @@ def test_ip_prior_falls_back_to_the_mean(spark):
     test = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "ip string")
     got = {r.ip: r.score for r in models.ip_prior(train, test).collect()}
     assert got == {"a": 0.5, "b": 0.0, "c": 0.25, None: 0.25}
+
+
+def test_logistic_expression_equals_the_fitted_model(spark):
+    from pyspark.ml.classification import LogisticRegression
+
+    df = feature_rows(spark, odd=40)
+    pipeline = models._fit(LogisticRegression(maxIter=50, regParam=1e-4), df, "is_gold", scale=True)
+    want = pipeline.stages[2]
+    row = pipeline.stages[1].transform(pipeline.stages[0].transform(models.numeric(df))).limit(20).collect()
+    got = {r.row_id: r.score for r in models.score_supervised(models.fit_logistic(df), df).collect()}
+    for r in row:
+        assert got[r.row_id] == pytest.approx(want.predictProbability(r._vector)[1], abs=1e-4)
