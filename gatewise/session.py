@@ -41,24 +41,51 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return prepare(spark)
 
 
-def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name under the cluster's shared folder.
+def shared_root(spark: SparkSession) -> str:
+    """The folder every executor and the driver can reach.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without it
-    (a local test) falls back to the machine's temporary folder.
+    The session's ``spark.checkpoint.dir``, else the directory given to ``setCheckpointDir``. A
+    session in one local process has nobody to share with and gets a temporary folder, which is
+    then set as its ``spark.checkpoint.dir``; any other session without a folder is refused, since
+    files in a machine's own folder are missing everywhere else.
     """
-    import tempfile
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        context = spark.sparkContext
+        root = context.getCheckpointDir()
+        if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            root = tempfile.mkdtemp(prefix="gatewise-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared folder; whoever runs the job removes it afterwards."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/gatewise-{label}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/gatewise-{label}-{uuid.uuid4().hex}"
+
+
+def written(df, label: str, partition_by: str | None = None):
+    """Write ``df`` as Parquet to the shared folder and return the table read back.
+
+    Cuts the lineage of tables of any size: a lost executor rereads files, not the history.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns)
 
 
 def cut_lineage(df):
-    """Write ``df`` to the checkpoint folder and return it with a one-step plan.
+    """Checkpoint ``df``, a small bounded table that several branches of a job join.
 
-    Used for small bounded tables that several branches of a job join: they are
-    computed once, and a lost executor rereads the files instead of the history.
+    They are computed once, and a lost executor rereads the files instead of the history.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
