@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewise.llm import decontaminate, jaccard, lattice, packing, quality, ring, secrets, tokencount, toxicity
+from gatewise.llm import decontaminate, jaccard, lattice, packing, quality, repeats, ring, secrets, tokencount, toxicity
 from gatewise.session import prepare
 
 
@@ -33,6 +33,10 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_ledger, op2_attention_quality, op3_viterbi_counts, op4_lattice_neighbours, op5_ring_shards, op7_jaccard_join,
+        op1_secret_ledger, op2_attention_quality, op3_viterbi_counts, op4_lattice_neighbours, op5_ring_shards, op6_suffix_repeats, op7_jaccard_join,
         op8_best_fit, op9_string_kernel, op10_prefix_windows,
     )
 }
