@@ -14,6 +14,8 @@ RUNTIME_SETTINGS = {
     # The JVM never compiles a method above 8000 bytes of bytecode. The cleaning
     # projection exceeds that as one generated method; below this limit Spark splits it.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Arrow batches are bounded by rows only unless told otherwise; long texts need a bound in bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
