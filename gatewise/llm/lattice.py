@@ -31,7 +31,7 @@ from gatewise.session import written
 
 COSINE = 0.9
 TIGHT = 0.995
-TABLES, BLOCKS, SCALE, PROBES = 8, 2, 1.6, 12
+TABLES, BLOCKS, SCALE, PROBES = 12, 2, 1.6, 12
 SEED = 11
 
 #: The 240 shortest vectors of E8, doubled so that they are whole numbers.
@@ -151,9 +151,9 @@ def tight_groups(vectors: DataFrame, dim: int, turns: int = 3) -> DataFrame:
     for turn in range(turns):
         # Leaders so far and single vectors meet; of a cell only the least one takes others in.
         first = now.where("leader = vec_id").groupBy(F.col(str(turn)).alias("cell")).agg(F.min(F.struct(F.col("vec_id").alias("head"), F.col("vector").alias("center"))).alias("m"))
-        met = now.join(first.select("cell", "m.head", "m.center"), F.col(str(turn)) == F.col("cell"))
+        met = now.join(first.select("cell", "m.head", "m.center"), F.col(str(turn)) == F.col("cell"), "left")
         cos = _cosine("vector", "center")
-        joins = F.col("alone") & (F.col("head") < F.col("vec_id")) & (cos >= TIGHT)
+        joins = F.col("alone") & F.coalesce((F.col("head") < F.col("vec_id")) & (cos >= TIGHT), F.lit(False))  # a cell may have no leader
         met = met.withColumn("angle", F.when(joins, F.acos(cos)).otherwise(F.col("angle"))).withColumn("leader", F.when(joins, F.col("head")).otherwise(F.col("leader")))
         now = written(met.drop("cell", "head", "center", "alone"), "tight")
         if turn < turns - 1:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 FOLDS = 5
 #: Bounds of a training sample: rows per class, and the longest text taken, in characters.
-SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 65_536
+SAMPLE_ROWS = 1000
+SAMPLE_CHARS = 20_000
 
 
 def held_out(doc_id="doc_id"):

@@ -120,8 +120,9 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> A
     if len(set(y.tolist())) < 2:
         return AttentionModel(None, float(y.mean()) if len(y) else 0.5)
     data, offsets = tb.texts(pa.array(texts, pa.large_string()))
-    x, first = passages(data, offsets)
-    x = x.astype(np.float64)
+    parts = [passages(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) for lo, hi in tb.chunks(offsets)]
+    x = np.concatenate([part for part, _ in parts])
+    first = np.r_[0, np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))]
     share = y.mean()
     model = AttentionModel(AttentionModel.fresh(seed), float(share))
     model.params["mean"], model.params["scale"] = x.mean(0), x.std(0) + 1e-2
@@ -134,7 +135,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = STEPS, seed: int = 7) -> A
             size = first[docs + 1] - first[docs]
             bounds = np.r_[0, np.cumsum(size)]
             rows = np.repeat(first[docs] - bounds[:-1], size) + np.arange(bounds[-1])
-            f = model.forward(x[rows], bounds)
+            f = model.forward(x[rows].astype(np.float64), bounds)
             adam.step(model.params, model.gradients(f, y[docs], weight[docs] / len(docs)))
     return model
 

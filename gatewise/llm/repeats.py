@@ -38,7 +38,7 @@ ANCHOR = 28
 LONGEST_PHRASE = 64
 FORMS = 20_000
 SORT_BYTES = 1 << 21
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 18
 NO_ID = -(1 << 63)
 
 _U = np.uint64
@@ -245,8 +245,8 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, by
     room = np.minimum(piece_end[position] - position, LENGTH)
     padded = np.r_[data, np.zeros(LENGTH, np.uint8)]
     common = np.zeros(len(position), np.int64)
-    for lo in range(1, len(position), 50_000):
-        hi = min(lo + 50_000, len(position))
+    for lo in range(1, len(position), 20_000):
+        hi = min(lo + 20_000, len(position))
         reach = np.arange(LENGTH)
         differ = padded[position[lo:hi, None] + reach] != padded[position[lo - 1:hi - 1, None] + reach]
         same = np.where(differ.any(1), differ.argmax(1), LENGTH)

@@ -18,6 +18,8 @@ rows get equal scores; without both classes among the labels every score is 0; o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -30,7 +32,7 @@ GAPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
 LANDMARKS = 192
 ROUNDS, STEPS, DECAY = 5, 40, 1e-3
 THRESHOLD = 0.5
-TELLING = 12
+CHANCE = 1e-4
 
 LONGEST = 48  # of a training word, in bytes
 
@@ -90,8 +92,8 @@ def phi(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def features(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     """Kernel values against landmarks, given as a (triples x landmarks) table; by blocks of words."""
     out = np.zeros((len(words), landmarks.shape[1]))
-    for lo in range(0, len(words), 4096):
-        row, code, value = phi(words[lo:lo + 4096])
+    for lo in range(0, len(words), 512):
+        row, code, value = phi(words[lo:lo + 512])
         live = np.flatnonzero(landmarks[code].any(1)) if len(code) else np.zeros(0, np.int64)
         order = live[np.argsort(row[live], kind="stable")]
         if len(order):
@@ -157,7 +159,9 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
     # Copies of a document count once, for a copied word comes after the same word.
     behind = np.r_[-1, np.where(rows[1:] == rows[:-1], back[:-1], -1)]
     held = np.bincount(np.unique(np.stack([back, behind], 1)[y[rows] == 1], axis=0)[:, 0], minlength=len(words))
-    telling = np.where((held >= TELLING) & ~clean, held, 0)
+    # Enough of them, if any word fell into a toxic document with the same chance.
+    share = np.clip((y[rows] == 1).mean(), 0.05, 0.9)
+    telling = np.where((held >= math.log(CHANCE) / math.log(share)) & ~clean, held, 0)
     pairs = pairs[~np.isin(pairs[:, 0], pairs[telling[pairs[:, 1]] > 0, 0])]
     value = _mean_value(words, _odds(data, offsets, y))
     model, pool = KernelModel(), np.zeros(0, np.int64)

@@ -22,7 +22,7 @@ def _planted(dim=48):
         rows += [center] + [_turned(rng, center, cos) for _ in range(n)]
     edge = unit()
     other = _turned(rng, edge, 0.9)  # two tight groups about the threshold apart
-    rows += [_turned(rng, edge, 0.9995) for _ in range(30)] + [_turned(rng, other, 0.9995) for _ in range(30)]
+    rows += [_turned(rng, edge, 0.9995) for _ in range(12)] + [_turned(rng, other, 0.9995) for _ in range(12)]
     rows += [rows[0] * 3, rows[0] * 1e-200, rows[1]]
     return [(k, [float(c) for c in v]) for k, v in enumerate(rows)]
 
