@@ -40,15 +40,20 @@ def known(text: Column) -> Column:
     return F.when(~text.isin("", "-"), text)
 
 
+def to_double(text: Column) -> Column:
+    """Text to double; a type suffix as in ``1d`` or ``1.5f``, which a cast would take, is no number."""
+    return F.when(~text.rlike(r"(?i)[0-9.][df]\s*\z"), text.try_cast("double"))
+
+
 def rtt_value(text: Column) -> Column:
     """Milliseconds; empty, unparsable and above the outlier bound are NULL."""
-    ms = text.try_cast("double")
+    ms = to_double(text)
     return F.when(ms <= RTT_LIMIT_MS, ms)
 
 
 def rtt_is_outlier(text: Column) -> Column:
     """FALSE for missing text, NULL for text that is not a number."""
-    return text.isNotNull() & (text.try_cast("double") > RTT_LIMIT_MS)
+    return text.isNotNull() & (to_double(text) > RTT_LIMIT_MS)
 
 
 def strip_versions(name: Column) -> Column:

@@ -27,7 +27,7 @@ def column_grid(raw: DataFrame) -> DataFrame:
     """Raw columns against criteria: (column, missing, unparsable, minimum, maximum)."""
     c = _C
     numeric = {"idx": text.to_long(c("idx")), "user_id": text.to_long(c("user_id")),
-               "asn": text.to_long(c("asn")), "rtt": c("rtt").try_cast("double")}
+               "asn": text.to_long(c("asn")), "rtt": text.to_double(c("rtt"))}
     parsed: dict[str, Column] = {**numeric, "ts": text.to_timestamp_ntz(c("ts"))}
     for flag in ("success", "attack", "ato"):
         parsed[flag] = F.when(c(flag).isin("True", "False"), c(flag))
@@ -265,7 +265,8 @@ def dominant_user(clean: DataFrame) -> DataFrame:
     The user is found by one aggregate and filtered for; its rows are only counted.
     """
     per_user = clean.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    top = per_user.agg(F.max_by("user_id", F.struct(_C("n"), -_C("user_id"))))
+    # most rows first, then the least id; counts can be negated safely, ids cannot
+    top = per_user.agg(F.min(F.struct((-_C("n")).alias("n"), "user_id"))["user_id"])
     mine = _C("user_id") == top.scalar()
     # count first, by everything the report needs; distinct sets stay tiny
     facts = clean.groupBy(mine.alias("mine"), "country").agg(

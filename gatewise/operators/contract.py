@@ -84,7 +84,8 @@ def expected_sample_rows(events: DataFrame, spec: SampleSpec) -> DataFrame:
     c = F.col
     cap = F.when(c("tier") == "robot", spec.robot_cap).otherwise(spec.user_cap)
     chosen = sample_users(user_tiers(events, spec), spec)
-    return chosen.agg(F.coalesce(F.sum(F.least(c("user_rows"), cap)), F.lit(0)).alias("expected_rows"))
+    kept = F.greatest(F.least(c("user_rows"), cap), c("atos"))
+    return chosen.agg(F.coalesce(F.sum(kept), F.lit(0)).alias("expected_rows"))
 
 
 def sample_violations(events: DataFrame, sample: DataFrame, spec: SampleSpec) -> DataFrame:

@@ -142,9 +142,13 @@ def replay_exact(events: DataFrame, label: Column, rate: float, score: str = "sc
     )
     cut_score = cut.select("x.threshold").scalar()
     left = cut.select(c("x.want") - c("x.above")).scalar()
-    span = slim.agg(F.greatest(F.ceil((F.max("row_id") + 1) / 65536), F.lit(1)).cast("bigint")).scalar()
+    bounds = slim.agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
+    low = bounds.select("lo").scalar()
+    span = bounds.select(F.coalesce(F.greatest(F.ceil((c("hi") - c("lo") + 1) / 65536), F.lit(1)), F.lit(1)).cast("bigint")).scalar()
     ties = slim.where(c("score") == cut_score).withColumn("_k", F.lit(0))
-    taken = take_smallest(ties, "_k", left, c("row_id"), F.floor(c("row_id") / span)).drop("_k")
+    # rows without an id come last, in a bucket behind all others
+    place = F.coalesce(F.floor((c("row_id") - low) / span), F.lit(1 << 20))
+    taken = take_smallest(ties, "_k", left, c("row_id"), place).drop("_k")
     chosen = slim.where(c("score") > cut_score).union(taken)
     whole = slim.agg(F.count(F.lit(1)).alias("rows"), F.count_if("label").alias("pos"))
     got = chosen.agg(F.count(F.lit(1)).alias("challenged"), F.count_if("label").alias("caught"))

@@ -55,7 +55,12 @@ def sample_users(tiers: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame
     quota = None
     for tier, percent in spec.keep_percent:
         quota = F.when(F.col("tier") == tier, percent) if quota is None else quota.when(F.col("tier") == tier, percent)
-    return tiers.where(seeded_hash(spec.seed, F.col("user_id")) % 100 < quota)
+    return tiers.where(seeded_hash(spec.seed, _user_key()) % 100 < quota)
+
+
+def _user_key() -> Column:
+    """The user id as text; rows without one are a user of their own."""
+    return F.coalesce(F.col("user_id").cast("string"), F.lit("<null>"))
 
 
 def take_smallest(df: DataFrame, key: str, quota: Column, order: Column, bucket: Column) -> DataFrame:
@@ -76,7 +81,7 @@ def take_smallest(df: DataFrame, key: str, quota: Column, order: Column, bucket:
         .where((c("taken") < c("q")) & (c("taken") + c("n") >= c("q")))
         .select(c(key).alias("_key"), c("_b").alias("_cut"), (c("q") - c("taken")).alias("_left"))
     )
-    cuts = cut_lineage(cuts.coalesce(1))
+    cuts = cut_lineage(cuts)
     joined = marked.join(F.broadcast(cuts), c(key).eqNullSafe(c("_key")), "left")
     whole = joined.where(c("_cut").isNull() | (c("_b") < c("_cut")))
     edge = (
@@ -90,9 +95,9 @@ def take_smallest(df: DataFrame, key: str, quota: Column, order: Column, bucket:
 def sample_events(events: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFrame:
     """Rows of the chosen users with their tier, capped per user.
 
-    Account-takeover rows come first, the rest in hash order. Ordinary users are
-    ranked by a window; heavy users go through the histogram cut, so no task ever
-    ranks a dominant account.
+    Account-takeover rows all stay and count towards the cap; the rest follows in hash
+    order. Ordinary users are ranked by a window; heavy users go through the histogram
+    cut, so no task ever ranks a dominant account. Rows without a user id are one user.
     """
     c = F.col
     if spec.drop_genbots:
@@ -101,21 +106,24 @@ def sample_events(events: DataFrame, spec: SampleSpec = SampleSpec()) -> DataFra
         events = events.where(~F.coalesce(c("is_vlc"), F.lit(False)))
     heavy = heavy_users(events, spec.params).select("heavy_user")
     is_heavy = c("user_id").eqNullSafe(c("heavy_user"))
-    chosen = sample_users(user_tiers(events, spec), spec).select("user_id", "tier")
+    chosen = sample_users(user_tiers(events, spec), spec).select(c("user_id").alias("_chosen"), "tier", "atos")
+    is_chosen = c("user_id").eqNullSafe(c("_chosen"))
     quota = F.when(c("tier") == "robot", spec.robot_cap).otherwise(spec.user_cap)
     urgent = F.coalesce(c("is_ato"), F.lit(False))
     order = F.when(urgent, -1).otherwise(seeded_hash(spec.seed, c("row_id")))
 
-    light = events.join(F.broadcast(heavy), is_heavy, "left_anti").join(chosen, "user_id")
+    light = events.join(F.broadcast(heavy), is_heavy, "left_anti").join(chosen, is_chosen)
     rank = F.row_number().over(W.partitionBy("user_id").orderBy("_order", "row_id"))
-    light = light.withColumn("_order", order).withColumn("_rank", rank).where(c("_rank") <= quota)
+    light = light.withColumn("_order", order).withColumn("_rank", rank).where((c("_rank") <= quota) | urgent)
 
-    hot_users = chosen.join(F.broadcast(heavy), is_heavy, "left_semi")
-    hot = events.join(F.broadcast(cut_lineage(hot_users.coalesce(1))), "user_id")
+    hot_users = chosen.join(F.broadcast(heavy), c("_chosen").eqNullSafe(c("heavy_user")), "left_semi")
+    hot = events.join(F.broadcast(cut_lineage(hot_users)), is_chosen)
+    # takeover rows need no rank; what they leave of the cap goes to the others.
     # 2**16 buckets: the edge bucket holds about 1/65536 of a heavy user
-    hot = take_smallest(hot, "user_id", quota, order, F.shiftright(order, _HASH_SPACE_BITS - 16))
+    rest = hot.where(~urgent & (quota > c("atos")))
+    rest = take_smallest(rest, "user_id", quota - c("atos"), order, F.shiftright(order, _HASH_SPACE_BITS - 16))
     cols = [*events.columns, "tier"]
-    return light.select(*cols).unionByName(hot.select(*cols))
+    return light.select(*cols).unionByName(hot.where(urgent).select(*cols)).unionByName(rest.select(*cols))
 
 
 def sample_shares(sample: DataFrame) -> DataFrame:
@@ -141,7 +149,8 @@ def split_by_time(events: DataFrame, train_share: float = 0.8) -> DataFrame:
     """Adds ``fold`` with one cut in time for everybody.
 
     The cut is the first full hour before which at least ``train_share`` of the
-    rows lie; it comes from a histogram of hours, not from sorting the events.
+    rows lie; it comes from a histogram of hours, not from sorting the events. Rows
+    without a time are on neither side; their fold is ``untimed``.
     """
     c = F.col
     hours = events.where(c("ts").isNotNull()).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(
@@ -156,7 +165,8 @@ def split_by_time(events: DataFrame, train_share: float = 0.8) -> DataFrame:
         .agg(F.min("h").alias("h"))
     )
     last_hour = cut.select(c("h") + F.expr("interval 1 hour"))
-    return events.withColumn("fold", F.when(c("ts") < last_hour.scalar(), "train").otherwise("test"))
+    fold = F.when(c("ts").isNull(), "untimed").when(c("ts") < last_hour.scalar(), "train").otherwise("test")
+    return events.withColumn("fold", fold)
 
 
 def split_within_user(counted: DataFrame, train_share: float = 0.8) -> DataFrame:

@@ -217,7 +217,7 @@ tiers as (
 
 def chosen(spec) -> str:
     quota = " ".join(f"when {quoted(t)} then {p}" for t, p in spec.keep_percent)
-    return f"""chosen as (select * from tiers where {seeded_hash(spec.seed, 'user_id')} % 100 < case tier {quota} end)"""
+    return f"""chosen as (select * from tiers where {seeded_hash(spec.seed, "coalesce(cast(user_id as varchar), '<null>')")} % 100 < case tier {quota} end)"""
 
 
 def sample(spec, profile: str = "documented", base: str | None = None) -> str:
@@ -226,9 +226,9 @@ def sample(spec, profile: str = "documented", base: str | None = None) -> str:
 ranked as (
   select c.*, tier, row_number() over (partition by c.user_id
      order by case when is_ato then 0 else 1 end, {seeded_hash(spec.seed, 'row_id')}, row_id) as place
-  from clean c join chosen using (user_id)),
+  from clean c join chosen on c.user_id is not distinct from chosen.user_id),
 sample as (select * exclude (place) from ranked
-  where place <= case when tier = 'robot' then {spec.robot_cap} else {spec.user_cap} end)"""
+  where is_ato or place <= case when tier = 'robot' then {spec.robot_cap} else {spec.user_cap} end)"""
 
 
 def with_(ctes: str, body: str) -> str:

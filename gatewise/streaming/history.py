@@ -7,7 +7,6 @@ reasons are computed from the facts by the column expressions the batch job uses
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -99,9 +98,13 @@ class LoginHistory(StatefulProcessor):
         state = self._load()
         facts = []
         for row in batch.to_dict("records"):
-            facts.append(self._confirm(row, state) if row["row_kind"] == CONFIRM else self._login(row, state))
+            if row["at_us"] != row["at_us"] or row["at_us"] is None:  # untimed rows are sorted last
+                facts.append((0, *[False for _ in KINDS], None, 0, 0, 0, False))
+            else:
+                facts.append(self._confirm(row, state) if row["row_kind"] == CONFIRM else self._login(row, state))
         self._save(state)
         out = batch[list(self.columns)].reset_index(drop=True)
+        out["at_us"] = out["at_us"].astype("Int64")
         told = pd.DataFrame(facts, columns=[f.name for f in FACTS])
         for field in FACTS:
             if isinstance(field.dataType, T.LongType):
@@ -112,7 +115,9 @@ class LoginHistory(StatefulProcessor):
         names = [part.split()[0] for part in _TOTALS.split(", ")]
         stored = self.totals.get() if self.totals.exists() else (0, 0, None, None, 0, None, 0, None, None)
         state = dict(zip(names, stored))
-        state["recent"] = deque(t[0] for t in self.recent.get()) if self.recent.exists() else deque()
+        # times of the last span, ascending; ``head`` is the first that still counts
+        state["recent"] = [t[0] for t in self.recent.get()] if self.recent.exists() else []
+        state["head"] = 0
         state["hours"] = _Memo(self.hours)
         state["values"] = {k: _Memo(m) for k, m in self.values.items()}
         return state
@@ -120,7 +125,7 @@ class LoginHistory(StatefulProcessor):
     def _save(self, s: dict) -> None:
         names = [part.split()[0] for part in _TOTALS.split(", ")]
         self.totals.update(tuple(s[n] for n in names))
-        self.recent.put([(t,) for t in s["recent"]])
+        self.recent.put([(t,) for t in s["recent"][s["head"]:]])
         s["hours"].flush()
         for memo in s["values"].values():
             memo.flush()
@@ -138,8 +143,8 @@ class LoginHistory(StatefulProcessor):
         failure = s["fail_before"] if s["fail"] == us else s["fail"]
         if failure is not None and failure >= us:
             failure = None
-        span = list(s["recent"])
-        burst = bisect_left(span, us) - bisect_left(span, us - self.params.burst_us)
+        span, head = s["recent"], s["head"]
+        burst = bisect_left(span, us, head) - bisect_left(span, us - self.params.burst_us, head)
         today = (s["today"] - (s["at_last"] if tie else 0)) if s["day"] == day else 0
         same_hour = (s["hours"].get(hour) or 0) - same
         late = s["last_us"] is not None and us < s["last_us"]
@@ -158,8 +163,7 @@ class LoginHistory(StatefulProcessor):
         s["today"] = s["today"] + 1 if s["day"] == day else 1
         s["last_us"], s["day"] = us, day
         s["recent"].append(us)
-        while s["recent"][0] < us - self.params.burst_us:
-            s["recent"].popleft()
+        s["head"] = bisect_left(s["recent"], us - self.params.burst_us, s["head"])
         if success is False and s["fail"] != us:
             s["fail_before"], s["fail"] = s["fail"], us
 

@@ -18,11 +18,10 @@ LIVE_COLUMNS = ("row_id", "user_id", "ts", "login_success", "is_attack_ip", "is_
 
 @dataclass(frozen=True)
 class LiveParams:
-    """Ours: the watermark. Late rows are scored but teach nothing."""
+    """Rules and learning. Late rows are scored but teach nothing."""
 
     risk: RiskParams = field(default_factory=RiskParams)
     policy: LearnPolicy = field(default_factory=LearnPolicy)
-    watermark: str = "10 minutes"
 
 
 def replay_source(spark: SparkSession, directory: str, schema: T.StructType, pattern: str | None = None,
@@ -44,13 +43,14 @@ def live_facts(logins: DataFrame, params: LiveParams = LiveParams(), feedback: D
 
     State is keyed by user and kept in RocksDB, one map per kind of value, so a
     profile with many addresses is not read as a whole. Feedback rows travel in the
-    same keyed stream.
+    same keyed stream. Every login is scored: one without a time has no history and
+    teaches nothing, as in the batch job, and nothing a client sends leads past the state.
     """
     logins.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     rows = logins.select(*LIVE_COLUMNS).withColumn("row_kind", F.lit(LOGIN))
     if feedback is not None:
         rows = rows.unionByName(feedback.select(*LIVE_COLUMNS, "row_kind"))
-    rows = rows.where("ts is not null").withColumn("at_us", micros(F.col("ts")))
+    rows = rows.withColumn("at_us", micros(F.col("ts")))
     # pandas drops names with a leading underscore from the rows it hands over
     columns = (*LIVE_COLUMNS, "row_kind", "at_us")
     schema = T.StructType([rows.schema[c] for c in columns] + list(FACTS))
@@ -82,34 +82,6 @@ def live_scores(logins: DataFrame, params: LiveParams = LiveParams(), feedback:
     return score_events(features_from_facts(live_facts(logins, params, feedback), params.risk), params.risk)
 
 
-def stateless_scores(logins: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """Rule score without history, for accounts routed past the keyed state.
-
-    A dominant machine account would be one state partition. Its events keep flowing
-    and are scored on what a single event tells.
-    """
-    zero = F.lit(0).cast("bigint")
-    none = {k: F.lit(False) for k in KINDS}
-    made = {
-        **risk.calendar(F.col("ts"), params),
-        **risk.history_features(
-            now_us=micros(F.col("ts")), prior=zero, seen=none, last_failure_us=F.lit(None).cast("bigint"),
-            in_burst=zero, today=zero, same_hour=zero, params=params,
-        ),
-    }
-    rows = logins.select(
-        *LIVE_COLUMNS, *[made[n].alias(n) for n in FEATURES],
-        F.lit(False).alias("has_history"), F.lit(False).alias("learned"),
-    )
-    return score_events(rows, params)
-
-
-def route(logins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(people, machines): generator bots and media players skip the keyed state."""
-    machine = F.coalesce(F.col("is_generator_bot") | F.col("is_vlc"), F.lit(False))
-    return logins.where(~machine), logins.where(machine)
-
-
 def alerts(scored: DataFrame) -> DataFrame:
     """Events that are not simply allowed, with their reasons in words."""
     return scored.where(F.col("decision") != "allow").select(
