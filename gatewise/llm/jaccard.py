@@ -33,7 +33,6 @@ WIDTH = 3
 PERCENT = 90
 CELL_BITS = 18
 SUFFIX_RANGES = 32
-STAR_ROUNDS = 2
 
 
 def required(n):
@@ -168,13 +167,16 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(f"{x}.cls", f"{y}.cls").alias("a"), F.greatest(f"{x}.cls", f"{y}.cls").alias("b")).distinct()
 
 
-def star_candidates(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each prefix row with one hub of its token, if they are not connected yet."""
-    key = F.xxhash64("cls", F.lit(turn))
-    hubs = rows.groupBy("token").agg(
-        F.min(F.struct(key.alias("key"), "cls", "n", "place", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    hubs = hubs.where("lo < hi").select("token", "h")
-    met = rows.alias("r").join(hubs, "token").where((F.col("r.comp") != F.col("h.comp")) & _may_link("r", "h"))
+def star_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of each prefix row with the hub of its token.
+
+    The hub is the class that meets most others over all its prefix tokens: what copies were made from
+    shares its tokens with all of them, while each copy's own changes are shared with none.
+    """
+    meets = rows.groupBy("cls").agg(F.sum("many").alias("meets"))
+    rows = rows.join(meets, "cls")
+    hubs = rows.groupBy("token").agg(F.max(F.struct("meets", "cls", "n", "place")).alias("h"))
+    met = rows.alias("r").join(hubs, "token").where((F.col("r.cls") != F.col("h.cls")) & _may_link("r", "h"))
     return _ordered(met, "r", "h")
 
 
@@ -190,35 +192,24 @@ def cross_candidates(rows: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """cls and comp for classes that are not the least of their component.
 
-    Documents around one prefix shingle are mostly copies of each other. Two rounds link them through
-    hubs; pairs then left are those between components, each compared once.
+    Documents around one prefix shingle are mostly copies of each other. They are linked through hubs
+    first; pairs then left are those between components, each compared once.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)
     prefix = docs.select("text").mapInArrow(_prefixes(shared), "token long, cls long, n long, place long")
     prefix = prefix.repartition("token").groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    prefix = written(prefix.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token")) > 1).where("many").drop("many"), "prefix")
+    prefix = written(prefix.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("many > 1"), "prefix")
     involved = prefix.select("cls").distinct()
     texts = docs.select("text").mapInArrow(_pack_texts, "cls long, packed binary").join(involved, "cls", "left_semi")
     texts = written(texts.groupBy("cls").agg(F.first("packed").alias("packed")), "texts")
-    links = done = None
-    comps = None
-    for turn in range(STAR_ROUNDS + 1):
-        rows = prefix
-        if comps is None:
-            rows = rows.withColumn("comp", F.col("cls"))
-        else:
-            rows = rows.join(comps.select(F.col("id").alias("cls"), F.col("component").alias("comp")), "cls", "left")
-            rows = rows.withColumn("comp", F.coalesce("comp", "cls"))
-        pairs = star_candidates(rows, turn) if turn < STAR_ROUNDS else cross_candidates(rows)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        good = written(verified(pairs, texts), "links")
-        links = good if links is None else links.unionByName(good)
-        done = pairs if done is None else done.unionByName(pairs)
-        comps = components(links)
-    return comps.select(F.col("id").alias("cls"), F.col("component").alias("comp"))
+    stars = written(star_candidates(prefix), "pairs")
+    links = written(verified(stars, texts), "links")
+    named = components(links).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
+    rows = prefix.drop("many").join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    crossing = cross_candidates(written(rows, "rows")).join(stars, ["a", "b"], "left_anti")
+    more = written(verified(crossing, texts), "links")
+    return components(links.unionByName(more)).select(F.col("id").alias("cls"), F.col("component").alias("comp"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
