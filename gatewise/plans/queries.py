@@ -874,12 +874,15 @@ def _(spark, sf):
     return live.run_profiles(_login_stream(spark, sf), scratch_dir(spark, "profiles"))
 
 
+def accepted_only_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    policy = live.LearnPolicy(everything=False)
+    scores = live.live_scores(_login_stream(prepare(spark), sf_dir), live.LiveParams(risk=RISK, policy=policy))
+    return live.run_to_table(scores, scratch_dir(spark, "live"))
+
+
 @query("stream_accepted_only")
 def _(spark, sf):
-    policy = live.LearnPolicy(everything=False)
-    scores = live.live_scores(_login_stream(spark, sf), live.LiveParams(risk=RISK, policy=policy))
-    table = live.run_to_table(scores, scratch_dir(spark, "live"))
-    return table.select("row_id", "user_id", "score", "level", "decision", "learned")
+    return accepted_only_scores(spark, sf).select("row_id", "user_id", "score", "level", "decision", "learned")
 
 
 # ------------------------------------------------------------------------ models

@@ -23,6 +23,19 @@ def test_take_smallest_is_exact(spark, quota):
         assert sorted((r.o, r.row_id) for r in got if r.k == key) == rows
 
 
+def test_takeover_rows_and_rows_without_user_stay(events):
+    """Above the cap takeover rows stay; rows without a user id are a user of their own."""
+    logins = [(i, 1 if i < 300 else None, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", {"is_ato": i % 300 < 40}) for i in range(330)]
+    everyone = tuple((tier, 100) for tier in ("robot", "ato", "heavy", "light", "normal"))
+    for slot_rows in (50, 1_000_000):  # user 1 heavy, and not
+        spec = sampling.SampleSpec(user_cap=20, robot_cap=25, keep_percent=everyone, params=FeatureParams(slot_rows=slot_rows))
+        got = sampling.sample_events(events(logins), spec)
+        assert got.where("user_id = 1 and is_ato").count() == 40 and got.where("user_id = 1").count() == 40
+        assert got.where("user_id is null").count() == 30
+        assert contract.sample_violations(events(logins), got, spec).where("n <> 0").count() == 0
+        assert "Coalesce 1" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sample_is_whole_reproducible_and_capped(events):
     rng = random.Random(1)
     df = events([(i, 0 if i % 2 else rng.randrange(1, 30), "2024-01-01 10:00:00",

@@ -1,6 +1,7 @@
 """Stream against batch, and the rules of learning."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatewise.functions.risk import FEATURES
 from gatewise.operators.features import FeatureParams, behaviour_features
@@ -66,13 +67,25 @@ def test_late_rows_are_scored_but_teach_nothing(spark, events, tmp_path):
     assert len(got) == 4 and not got[3].learned and got[3].country_change and got[4].country_change
 
 
-def test_machines_are_routed_past_the_state_and_kept(spark, events):
-    df = events([(1, 1, "2024-01-01 03:00:00"), (2, 2, "2024-01-01 12:00:00")])
-    flagged = df.selectExpr("*", "user_id = 1 as is_generator_bot", "cast(null as boolean) as is_vlc")
-    people, machines = live.route(flagged)
-    assert people.count() + machines.count() == 2
-    row = live.stateless_scores(machines).first()
-    assert row.score == 15 and not row.has_history
+def test_untimed_logins_are_scored_and_teach_nothing(spark, events, tmp_path):
+    df = events([(1, 1, "2024-01-01 12:00:00"), (2, 1, "2024-01-01 13:00:00", {"country": "SE"})])
+    untimed = df.where("row_id = 2").withColumns({"row_id": F.lit(3).cast("bigint"), "ts": F.lit(None).cast("timestamp_ntz")})
+    df.unionByName(untimed).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.replay_source(spark, str(tmp_path / "in"), df.schema)
+    got = {r.row_id: r for r in live.run_to_table(live.live_scores(stream), str(tmp_path / "out")).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[3].score == 0 and not got[3].has_history and not got[3].learned
+    assert got[2].country_change  # the untimed login from there taught nothing
+
+
+def test_only_accepted_logins_are_learned_from(spark):
+    from gatewise.plans import queries as registered
+
+    table = registered.accepted_only_scores(spark, "/root/testdata/sf0.001")
+    assert table.count() == 1000
+    assert table.where("learned <> (decision = 'allow')").count() == 0
+    # an agent string of a bot or a player changes nothing: history counts for all
+    assert table.where("has_history").count() > 900
 
 
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
