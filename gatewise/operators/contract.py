@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gatewise.functions import agents
 from gatewise.functions.agents import has_any
@@ -15,14 +15,13 @@ from gatewise.schema import CLEAN_SCHEMA, same_columns
 FORBIDDEN = ("prior_fail_ts", "rn", "is_robot_sampled")
 
 
-def schema_violations(events: DataFrame) -> DataFrame:
-    """Differences from the clean schema plus forbidden columns; decided on the plan, no job."""
-    spark = events.sparkSession
-    diffs = same_columns(events.select([c for c in events.columns if c in CLEAN_SCHEMA.names]).schema, CLEAN_SCHEMA)
-    bad = [c for c in events.columns if c in FORBIDDEN or c.startswith("_")]
-    return spark.sql(
-        "select * from values ('schema_differences', cast(:a as bigint)), ('forbidden_columns', cast(:b as bigint))"
-        " as t(check_name, n)", args={"a": len(diffs), "b": len(bad)},
+def schema_violations(table: DataFrame, expected: T.StructType = CLEAN_SCHEMA, label: str = "") -> DataFrame:
+    """Missing, further and misplaced columns, and forbidden ones; decided on the plan, no job."""
+    diffs = same_columns(table.schema, expected)
+    bad = [c for c in table.columns if c in FORBIDDEN or c.startswith("_")]
+    return table.sparkSession.sql(
+        "select * from values (:x, cast(:a as bigint)), (:y, cast(:b as bigint)) as t(check_name, n)",
+        args={"x": f"{label}schema_differences", "y": f"{label}forbidden_columns", "a": len(diffs), "b": len(bad)},
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gatewise.functions.risk import FEATURES, KINDS, RULES, RiskParams
 from gatewise.functions import text
@@ -14,6 +14,7 @@ from gatewise.operators.clean import clean, observed_clean
 from gatewise.operators.features import FeatureParams
 from gatewise.operators.sampling import SampleSpec
 from gatewise.plans import sql
+from gatewise.schema import CLEAN_SCHEMA, feature_schema
 from gatewise.session import cut_lineage, prepare, scratch_dir, written
 from gatewise.sources import files, normalize
 from gatewise.sources.projection import logins_from_events, read_logins
@@ -771,6 +772,8 @@ want as (select sum(greatest(least(user_rows, case when tier = 'robot' then {SPE
  from chosen)""",
     """select check_name, cast(n as bigint) as n, case when n = 0 then 'PASS' else 'FAIL' end as verdict from (
 select 'schema_differences' as check_name, 0 as n union all select 'forbidden_columns', 0
+union all select 'feature_schema_differences', 0 union all select 'feature_forbidden_columns', 0
+union all select 'sample_schema_differences', 0 union all select 'sample_forbidden_columns', 0
 union all select 'geo_semantics_violations', count(*) from clean
   where geo_unreliable is distinct from (is_private_ip or region is null or city is null)
 union all select 'ios_spoof_label', count(*) from clean where os_family = 'iOS' and user_agent not like '%iP%'
@@ -788,13 +791,60 @@ def _(spark, sf):
     events = written(cleaned(spark, sf), "clean")
     feats = written(features.behaviour_features(events.select(*FEATURE_INPUT), PARAMS), "features")
     sample = written(sampling.sample_events(events, SPEC), "sample")
-    return contract.verdict(
-        contract.schema_violations(events), contract.clean_violations(events), contract.legacy_guard(events),
-        contract.feature_violations(feats), contract.row_differences({"clean_rows_vs_features": (events, feats)}),
+    return contract.verdict(*_contract_lines(events, feats, sample))
+
+
+def _contract_lines(events, feats, sample):
+    made = feature_schema(FEATURES)
+    sampled = T.StructType([*CLEAN_SCHEMA.fields, T.StructField("tier", T.StringType())])
+    return (
+        contract.schema_violations(events), contract.schema_violations(feats, made, "feature_"),
+        contract.schema_violations(sample, sampled, "sample_"),
+        contract.clean_violations(events), contract.legacy_guard(events), contract.feature_violations(feats),
+        contract.row_differences({"clean_rows_vs_features": (events, feats)}),
         contract.sample_violations(events, sample, SPEC),
     )
 
 
+@query("contract_broken", sql.with_(f"""{sql.features()}, {sql.sample(SPEC, base="none as (select 1)")},
+want as (select sum(greatest(least(user_rows, case when tier = 'robot' then {SPEC.robot_cap} else {SPEC.user_cap} end), atos)) as n
+ from chosen)""", """
+select check_name, cast(n as bigint) as n, case when n = 0 then 'PASS' else 'FAIL' end as verdict from (
+select 'schema_differences' as check_name, 1 as n union all select 'forbidden_columns', 1
+union all select 'feature_schema_differences', 1 union all select 'feature_forbidden_columns', 1
+union all select 'sample_schema_differences', 0 union all select 'sample_forbidden_columns', 0
+union all select 'geo_semantics_violations', count(*) from clean where row_id % 50 = 0
+union all select 'ios_spoof_label', count(*) from clean where row_id % 60 = 0 and user_agent not like '%iP%'
+  and (is_generator_bot or user_agent like '%Andr%' or user_agent like '%Andor%')
+union all select 'null_device_desktop', count(*) from clean
+  where coalesce(device_raw, 'unknown') = 'unknown' and (row_id % 40 = 0 or device_type = 'desktop')
+union all select 'desktop_reclass_mobile', count(*) from clean where device_raw = 'desktop' and device_type = 'mobile' and row_id % 40 <> 0
+union all select 'legacy_os_lost', count(*) from clean where os_raw like 'Roku%' and os_family = 'unknown'
+union all select 'feature_nulls', count(*) from features where row_id % 30 <> 0 and row_id % 40 = 0
+union all select 'first_event_changes', 0
+union all select 'clean_rows_vs_features', (select count(*) from clean) - (select count(*) from features where row_id % 30 <> 0)
+union all select 'sample_rows_off', (select count(*) from sample where row_id % 7 <> 0) - (select n from want)
+union all select 'ato_rows_lost',
+  (select count(*) from clean where is_ato) - (select count(*) from sample where is_ato and row_id % 7 <> 0)
+)"""))
+def _(spark, sf):
+    """The contract over tables with planted faults: each must be found."""
+    sound = written(cleaned(spark, sf), "clean")
+    hit = lambda k: F.col("row_id") % k == 0
+    # a working column too many, wrong geography, wrong systems and devices
+    events = sound.withColumns({
+        "geo_unreliable": F.when(hit(50), ~F.col("geo_unreliable")).otherwise(F.col("geo_unreliable")),
+        "os_family": F.when(hit(60), "iOS").otherwise(F.col("os_family")),
+        "device_type": F.when(hit(40), "desktop").otherwise(F.col("device_type")),
+        "rn": F.lit(1),
+    })
+    feats = features.behaviour_features(sound.select(*FEATURE_INPUT), PARAMS).where(~hit(30))
+    feats = feats.withColumn("unusual_hour", F.when(~hit(40), F.col("unusual_hour")))
+    feats = written(feats.withColumn("prior_fail_ts", F.lit(0)), "features")
+    sample = written(sampling.sample_events(sound, SPEC).where(~hit(7)), "sample")
+    return contract.verdict(*_contract_lines(events, feats, sample))
+
+
 @query("contract_rebuild", "select 'rebuild_differs' as check_name, 0 as n")
 def _(spark, sf):
     events = cleaned(spark, sf)

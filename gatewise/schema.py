@@ -43,6 +43,18 @@ CLEAN_SCHEMA = T.StructType(
     ]
 )
 
+# Keys carried along with the behavioural features.
+FEATURE_KEYS = ("row_id", "user_id", "ts", "login_success", "is_attack_ip", "is_ato", "ip", "country", "asn",
+                "device_type", "os_family", "browser_family")
+
+
+def feature_schema(names: tuple[str, ...]) -> T.StructType:
+    """The feature table: keys, the named features and whether the user had a history."""
+    kinds = {"hour": T.IntegerType(), "rapid_login_rate": T.LongType(), "login_frequency_today": T.LongType()}
+    made = [T.StructField(n, kinds.get(n, T.BooleanType())) for n in (*names, "has_history")]
+    return T.StructType([CLEAN_SCHEMA[k] for k in FEATURE_KEYS] + made)
+
+
 # One authentication event, whatever system logged it.
 NORMALIZED_SCHEMA = T.StructType(
     [
