@@ -666,6 +666,33 @@ def _(spark, sf):
     return sampling.users_on_both_sides(sampling.split_by_time(cleaned(spark, sf)))
 
 
+# ------------------------------------------------------------- the job in order
+
+def _in_order(spark, sf_dir: str) -> DataFrame:
+    """Clean, features over all rows, sample of the feature table, scores; each table written once."""
+    clean_rows = written(cleaned(spark, sf_dir), "clean")
+    feats = written(features.behaviour_features(clean_rows.select(*FEATURE_INPUT), PARAMS), "features")
+    sample = written(sampling.sample_events(feats, SPEC), "sample")
+    return written(scoring.with_gold(scoring.score_events(sample, RISK)), "scored")
+
+
+_IN_ORDER = f"""{sql.scores()}, {sql.sample(SPEC, base="none as (select 1)")},
+taken as (select scored.*, tier from scored join (select row_id, tier from sample) using (row_id))"""
+
+
+@query("in_order_levels", sql.with_(_IN_ORDER, """
+select tier, level, decision, count(*) as events, count(*) filter (where is_gold) as gold from taken group by all"""))
+def _(spark, sf):
+    return _in_order(spark, sf).groupBy("tier", "level", "decision").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("is_gold").alias("gold")
+    )
+
+
+@query("in_order_curve", sql.with_(f"{_IN_ORDER}, {sql.curve(source='taken')}", "select * from curve"))
+def _(spark, sf):
+    return evaluate.threshold_curve(evaluate.score_histogram(_in_order(spark, sf), F.col("is_gold")))
+
+
 # ----------------------------------------------------------------------- rules
 
 @query("rule_score", sql.with_(sql.scores(), "select row_id, score, level, colour, decision, reasons from scored"))
