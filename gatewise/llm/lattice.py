@@ -31,7 +31,7 @@ from gatewise.session import written
 
 COSINE = 0.9
 TIGHT = 0.995
-TABLES, BLOCKS, SCALE, PROBES = 12, 2, 1.6, 12
+TABLES, BLOCKS, SCALE, PROBES = 14, 2, 1.8, 12
 SEED = 11
 
 #: The 240 shortest vectors of E8, doubled so that they are whole numbers.
