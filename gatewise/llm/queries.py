@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatewise.llm import decontaminate, jaccard, lattice, packing, quality, repeats, ring, secrets, tokencount, toxicity
+from gatewise.llm import decontaminate, jaccard, lattice, packing, quality, repeats, ring, secrets, sql, tokencount, toxicity
 from gatewise.session import prepare
 
 
@@ -60,4 +60,11 @@ QUERIES = {
         op8_best_fit, op9_string_kernel, op10_prefix_windows,
     )
 }
-SQL: dict[str, str] = {}
+#: The others hold a trained model, a tokenizer or a hash that SQL lacks; tests/llm compares them with plain versions.
+SQL = {
+    "op1_secret_ledger": sql.secret_ledger(),
+    "op4_lattice_neighbours": sql.near_vectors(),
+    "op6_suffix_repeats": sql.repeats(),
+    "op7_jaccard_join": sql.jaccard(),
+    "op10_prefix_windows": sql.contamination(),
+}
