@@ -71,7 +71,7 @@ def heavy_users(events: DataFrame, params: FeatureParams = FeatureParams()) -> D
     for seconds in reversed(_SLOT_SECONDS[:-1]):
         width = F.when(F.col("peak") * seconds / 3600 <= limit, F.lit(seconds)).otherwise(width)
     heavy = hours.select("heavy_user", "user_rows", (width.cast("bigint") * 1_000_000).alias("slot_us"))
-    return cut_lineage(heavy.coalesce(1))
+    return cut_lineage(heavy)
 
 
 def _slot(us: Column) -> Column:
