@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.functions.risk import FEATURES
 from gatewise.functions.text import seeded_hash
-from gatewise.session import cut_lineage
+from gatewise.session import cut_lineage, written
 
 _DIGITS = 4
 
@@ -201,9 +201,15 @@ def score_isolation_forest(forest: Forest, test: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ local outlier factor
 
-def _standardised(features: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Distinct feature vectors with multiplicity and z-scored coordinates."""
-    base = numeric(features).groupBy(*FEATURES).agg(F.count(F.lit(1)).cast("double").alias("w"))
+def _standardised(features: DataFrame, probes: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Distinct feature vectors with multiplicity and z-scored coordinates.
+
+    ``probes`` are placed on the same scale with multiplicity 0.
+    """
+    base = numeric(features).select(*FEATURES, F.lit(1.0).alias("w"))
+    if probes is not None:
+        base = base.unionByName(numeric(probes).select(*FEATURES, F.lit(0.0).alias("w")))
+    base = base.groupBy(*FEATURES).agg(F.sum("w").alias("w"))
     base = cut_lineage(base)
     mass = base.agg(F.sum("w").alias("n"), *[
         e for f in FEATURES for e in (
@@ -261,11 +267,14 @@ def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, blo
         sq = (x * x).sum(axis=1)
         d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))
         np.fill_diagonal(d, np.inf)
+        vid, w = chunk.vid.to_numpy(), chunk.w.to_numpy()
+        d[:, w == 0] = np.inf  # probes are nobody's neighbours
         m = min(k, len(chunk) - 1)
         idx = np.argsort(d, axis=1, kind="stable")[:, :m]
         rows = np.repeat(np.arange(len(chunk)), m)
         cols = idx.ravel()
-        vid, w = chunk.vid.to_numpy(), chunk.w.to_numpy()
+        found = np.isfinite(d[rows, cols])
+        rows, cols = rows[found], cols[found]
         return pd.DataFrame({"vid": vid[rows], "nid": vid[cols], "d": d[rows, cols], "nw": w[cols]})
 
     directions = [
@@ -280,6 +289,45 @@ def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, blo
     return found.groupBy("vid", "nid").agg(F.min("d").alias("d"), F.first("nw").alias("nw"))
 
 
+def _nearest_lists(found: DataFrame, own: DataFrame, k: int) -> DataFrame:
+    """The nearest rows of each vector up to ``k``, copies counted by their number."""
+    near = W.partitionBy("vid").orderBy("d", "nid").rowsBetween(W.unboundedPreceding, -1)
+    lists = found.unionByName(own).withColumn("_before", F.coalesce(F.sum("nw").over(near), F.lit(0.0)))
+    return lists.where(F.col("_before") < k).drop("_before")
+
+
+def _densities(lists: DataFrame, reach_of: DataFrame) -> DataFrame:
+    """Local reachability density per vector."""
+    joined = lists.join(reach_of.select(F.col("vid").alias("nid"), F.col("kd").alias("nkd")), "nid")
+    weighted = F.sum(F.col("nw") * F.greatest("d", "nkd"))
+    return joined.groupBy("vid").agg((F.sum("nw") / (weighted + 1e-10)).alias("lrd"))
+
+
+def novelty_outlier_factor(reference: DataFrame, features: DataFrame, k: int = 20, projections: int = 4, block: int = 512) -> DataFrame:
+    """``features`` with ``score``: local outlier factor against the rows of ``reference`` only.
+
+    Fitted on one table, usually undisturbed training rows, and applied to another: scale, neighbours and
+    densities come from the reference. A row for which no neighbour was found has no score.
+    """
+    c = F.col
+    vectors, zs = _standardised(reference, features)
+    found = written(_neighbours(vectors, zs, k, projections, block), "neighbours")
+    asked = numeric(features).select(F.xxhash64(*FEATURES).alias("vid")).distinct()
+    copies = lambda n: vectors.where(n > 0).select("vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), n.alias("nw"))
+    fitted = found.join(vectors.where("w > 0").select("vid"), "vid", "left_semi")
+    fitted = written(_nearest_lists(fitted, copies(c("w") - 1), k), "lists")
+    reach_of = fitted.groupBy("vid").agg(F.max("d").alias("kd"))
+    density = _densities(fitted, reach_of)
+    probed = found.join(asked, "vid", "left_semi").unionByName(copies(c("w")).join(asked, "vid", "left_semi"))
+    probed = written(_nearest_lists(probed, copies(F.lit(0.0)), k), "lists")
+    other = density.select(c("vid").alias("nid"), c("lrd").alias("nlrd"))
+    around = probed.join(other, "nid").groupBy("vid").agg((F.sum(c("nw") * c("nlrd")) / F.sum("nw")).alias("around"))
+    factor = around.join(_densities(probed, reach_of), "vid").select("vid", (c("around") / c("lrd")).alias("lof"))
+    keep = [n for n in features.columns if n not in FEATURES]
+    rows = numeric(features).withColumn("vid", F.xxhash64(*FEATURES))
+    return rows.join(factor, "vid", "left").select(*keep, F.round("lof", _DIGITS).alias("score"))
+
+
 def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4, block: int = 512) -> DataFrame:
     """Rows with ``score``: local outlier factor from approximate near neighbours.
 
@@ -290,15 +338,8 @@ def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4,
     vectors, zs = _standardised(features)
     found = _neighbours(vectors, zs, k, projections, block)
     own = vectors.where("w > 1").select("vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), (c("w") - 1).alias("nw"))
-    near = W.partitionBy("vid").orderBy("d", "nid").rowsBetween(W.unboundedPreceding, -1)
-    lists = found.unionByName(own).withColumn("_before", F.coalesce(F.sum("nw").over(near), F.lit(0.0)))
-    lists = cut_lineage(lists.where(c("_before") < k).drop("_before"))
-    reach_of = lists.groupBy("vid").agg(F.max("d").alias("kd"))
-    tiny = 1e-10
-    joined = lists.join(reach_of.select(c("vid").alias("nid"), c("kd").alias("nkd")), "nid")
-    density = joined.groupBy("vid").agg(
-        (F.sum("nw") / (F.sum(c("nw") * F.greatest("d", "nkd")) + tiny)).alias("lrd")
-    )
+    lists = written(_nearest_lists(found, own, k), "lists")
+    density = _densities(lists, lists.groupBy("vid").agg(F.max("d").alias("kd")))
     other = density.select(c("vid").alias("nid"), c("lrd").alias("nlrd"))
     factor = (
         lists.join(other, "nid").groupBy("vid").agg((F.sum(c("nw") * c("nlrd")) / F.sum("nw")).alias("around"))

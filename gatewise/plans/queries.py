@@ -770,6 +770,15 @@ def _(spark, sf):
     return evaluate.replay(_hist(spark, sf), _RATES)
 
 
+@query("flagged_share", sql.with_(f"{sql.scores()}, {sql.curve()}, {_REPLAY}", """
+select row_id, score >= (select threshold from cutoff where rate = 0.1) as flagged from scored"""))
+def _(spark, sf):
+    """The published flag rate: the top tenth by score, ties included."""
+    rows = written(scored(spark, sf), "scored")
+    cut = evaluate.replay(evaluate.score_histogram(rows, _gold()), (0.1,)).select("threshold")
+    return rows.select("row_id", (F.col("score") >= cut.scalar()).alias("flagged"))
+
+
 @query("replay_exact", sql.with_(f"""{sql.scores()},
 o as (select *, row_number() over (order by score desc, row_id) as place, count(*) over () as total from scored),
 k as (select count(*) filter (where place <= ceil(total * 0.1)) as challenged,
@@ -918,7 +927,7 @@ def _totals(spark, sf, length, slide=None):
     table = spark.read.parquet(path)
     stream = live.replay_source(spark, path, table.schema, files_per_trigger=1000)
     totals = live.decision_totals(stream, length, slide)
-    return live.run_counts(totals, scratch_dir(spark, "totals"))
+    return live.run_upserts(totals, scratch_dir(spark, "totals"), "window_start", "window_end", "decision")
 
 
 @query("stream_decision_totals", _window_sql(60, 60))
@@ -1029,8 +1038,15 @@ def _(spark, sf):
 
 @query("model_local_outlier_factor")
 def _(spark, sf):
-    _, test = _folds(spark, sf)
-    return models.local_outlier_factor(test).select(*_SCORED)
+    train, test = _folds(spark, sf)
+    return models.novelty_outlier_factor(train.where("not is_attack_ip"), test).select(*_SCORED)
+
+
+@query("model_outlier_factor_within")
+def _(spark, sf):
+    """Every row against all other rows, both folds."""
+    rows = scoring.with_gold(featured(spark, sf))
+    return models.local_outlier_factor(rows).select(*_SCORED)
 
 
 @query("model_envelope")
@@ -1051,11 +1067,22 @@ def _(spark, sf):
         logistic=models.score_supervised(models.fit_logistic(train), test).select(*_SCORED),
         boosting=models.score_supervised(models.fit_boosting(train), test).select(*_SCORED),
         isolation_forest=models.score_isolation_forest(models.fit_isolation_forest(quiet), test).select(*_SCORED),
+        # unbounded scores are rounded, so that the curve has few steps
+        local_outlier_factor=models.novelty_outlier_factor(quiet, test).withColumn("score", F.round("score", 2)).select(*_SCORED),
     )
-    stacked = cut_lineage(stacked)
+    stacked = written(stacked, "scores")
     mean = models.averaged_score(stacked, "is_gold", "is_ato").withColumn("model", F.lit("average"))
     everything = stacked.unionByName(mean)
-    return evaluate.compare_models(everything, {"gold": F.col("is_gold"), "ato": F.col("is_ato")})
+    envelope = models.fit_envelope(quiet)
+    if not envelope.skipped:
+        distance = models.score_envelope(envelope, test).withColumn("score", F.round("score", 2))
+        everything = everything.unionByName(distance.withColumn("model", F.lit("envelope")).select(*everything.columns))
+    lines = evaluate.compare_models(everything, {"gold": F.col("is_gold"), "ato": F.col("is_ato")})
+    lines = lines.withColumn("skipped_for_skew", F.lit(None).cast("double"))
+    if envelope.skipped:  # a model that was not applied is a line too
+        line = spark.range(1).select(F.lit("envelope").alias("model"), F.lit(float(envelope.worst_skew)).alias("skipped_for_skew"))
+        lines = lines.unionByName(line, allowMissingColumns=True)
+    return lines
 
 
 @query("model_comparison_rules", sql.with_(f"""{sql.scores()}, {_TIME_CUT},

@@ -130,9 +130,9 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
 def run_counts(stream: DataFrame, path: str) -> DataFrame:
     """Drain an aggregating stream and return the table of its latest counts.
 
-    Complete mode, so groups still open at the end of the data are included; meant
-    for window totals, which are few. Each trigger owns a folder; the last one holds
-    the result.
+    Complete mode, so groups still open at the end of the data are included; for
+    session windows, which know no update mode. Each trigger owns a folder; the last
+    one holds the result.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
@@ -145,6 +145,24 @@ def run_counts(stream: DataFrame, path: str) -> DataFrame:
     return table.where(F.col("batch") == last.scalar()).drop("batch")
 
 
+def run_upserts(stream: DataFrame, path: str, *keys: str) -> DataFrame:
+    """Drain an aggregating stream in update mode and return the latest row per key.
+
+    A trigger writes only groups it changed, into a folder of its own, which a retry overwrites. Groups
+    behind the watermark leave the state; what was written of them stays.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+
+    changed = stream.writeStream.outputMode("update").foreachBatch(write)
+    query = changed.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    table = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/data")
+    values = [c for c in stream.columns if c not in keys]
+    latest = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return latest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])
+
+
 def write_profile_deltas(path: str):
     """A ``foreachBatch`` function appending per-user profile changes of one batch.
 

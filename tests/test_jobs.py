@@ -131,6 +131,36 @@ def exact_lof(x, w, k):
     return np.array([sum(t[2] * lrd[t[1]] for t in ls) / sum(t[2] for t in ls) / lrd[i] for i, ls in enumerate(lists)])
 
 
+def test_novelty_factor_equals_exact(spark, events):
+    """Reference rows give scale, neighbours and densities; scored rows only look."""
+    rng, k = np.random.default_rng(4), 7
+    make = lambda n, first: spark.createDataFrame(
+        [(first + i, *[float(v) for v in rng.integers(0, 4, len(FEATURES))]) for i in range(n)],
+        "row_id bigint, " + ", ".join(f"{f} double" for f in FEATURES))
+    reference, probes = make(60, 0), make(20, 1000)
+    probes = probes.unionByName(reference.limit(1).withColumn("row_id", F.lit(2000).cast("bigint")))
+    got = {r.row_id: r.score for r in models.novelty_outlier_factor(reference, probes, k=k, block=1000).collect()}
+    data = lambda df: np.array([[r[f] for f in FEATURES] for r in df.orderBy("row_id").collect()])
+    ref, test = data(reference), data(probes)
+    mean, sd = ref.mean(0), ref.std(0)
+    ref, test = (ref - mean) / sd, (test - mean) / sd
+    dist = lambda a: np.sqrt(((a[:, None] - ref[None]) ** 2).sum(-1))
+    own = dist(ref)
+    np.fill_diagonal(own, np.inf)
+    order = np.argsort(own, axis=1, kind="stable")[:, :k]
+    reach = np.take_along_axis(own, order, 1)[:, -1]
+    dense = lambda d, o: k / (np.maximum(np.take_along_axis(d, o, 1), reach[o]).sum(1) + 1e-10)
+    lrd = dense(own, order)
+    d = dist(test)
+    o = np.argsort(d, axis=1, kind="stable")[:, :k]
+    want = lrd[o].mean(1) / dense(d, o)
+    # equal distances at the k-th place may be taken in another order
+    clear = [i for i in range(len(test)) if np.sort(d[i])[k] - np.sort(d[i])[k - 1] > 1e-9]
+    ids = sorted(got)
+    assert len(got) == len(test) and len(clear) > 5
+    assert [got[ids[i]] for i in clear] == pytest.approx([want[i] for i in clear], abs=0.05)
+
+
 def test_lof_equals_exact_when_one_block_holds_all(spark):
     df = feature_rows(spark)
     got = {r.row_id: r.score for r in models.local_outlier_factor(df, k=10, block=1000).collect()}

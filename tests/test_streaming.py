@@ -93,5 +93,6 @@ def test_window_totals(spark, events, tmp_path, slide):
     df = events([(i, 1, f"2024-01-01 10:{i:02d}:00") for i in range(0, 60, 5)]).selectExpr("*", "'allow' as decision")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = live.replay_source(spark, str(tmp_path / "in"), df.schema)
-    got = live.run_counts(live.decision_totals(stream, "1 hour", slide), str(tmp_path / "out")).collect()
+    totals = live.decision_totals(stream, "1 hour", slide)
+    got = live.run_upserts(totals, str(tmp_path / "out"), "window_start", "window_end", "decision").collect()
     assert sum(r.events for r in got) == (24 if slide else 12)
