@@ -559,7 +559,12 @@ def _(spark, sf):
 
 @query("user_baselines", sql.with_(sql.clean(), """
 select user_id, count(distinct country) as countries, count(distinct device_type) as devices, count(*) as events,
- count(*) filter (where not login_success) as failures, min(ts) as first_seen, max(ts) as last_seen from clean group by user_id"""))
+ count(*) filter (where not login_success) as failures, min(ts) as first_seen, max(ts) as last_seen,
+ count(distinct cast(ts as date)) as days, cast(max(per_day) as bigint) as most_a_day, cast(min(at_peak) as integer) as usual_hour
+from (select *, count(*) over (partition by user_id, cast(ts as date)) as per_day,
+   first_value(h) over (partition by user_id order by per_hour desc, h) as at_peak
+  from (select *, extract(hour from ts) as h, count(*) over (partition by user_id, extract(hour from ts)) as per_hour from clean))
+group by user_id"""))
 def _(spark, sf):
     return features.user_baselines(cleaned(spark, sf))
 
@@ -955,7 +960,12 @@ def _(spark, sf):
 
 @query("stream_profiles", sql.with_(sql.clean(), """
 select user_id, count(distinct country) as countries, count(distinct device_type) as devices, count(*) as events,
- count(*) filter (where not login_success) as failures, min(ts) as first_seen, max(ts) as last_seen from clean group by user_id"""))
+ count(*) filter (where not login_success) as failures, min(ts) as first_seen, max(ts) as last_seen,
+ count(distinct cast(ts as date)) as days, cast(max(per_day) as bigint) as most_a_day, cast(min(at_peak) as integer) as usual_hour
+from (select *, count(*) over (partition by user_id, cast(ts as date)) as per_day,
+   first_value(h) over (partition by user_id order by per_hour desc, h) as at_peak
+  from (select *, extract(hour from ts) as h, count(*) over (partition by user_id, extract(hour from ts)) as per_hour from clean))
+group by user_id"""))
 def _(spark, sf):
     return live.run_profiles(_login_stream(spark, sf), scratch_dir(spark, "profiles"))
 
@@ -971,6 +981,26 @@ def _(spark, sf):
     return accepted_only_scores(spark, sf).select("row_id", "user_id", "score", "level", "decision", "learned")
 
 
+_CONFIRMED = "row_id % 97 = 5"  # logins whose users later say "this was me", from abroad
+
+
+@query("stream_feedback", sql.with_(f"""{sql.clean()},
+told as (select user_id, ts, 'SE' as country from clean where {_CONFIRMED}),
+known as (select user_id, country, min(ts) as since from (
+  select user_id, country, ts from clean union all select user_id, country, ts from told) group by user_id, country),
+p as (select row_id, count(*) over (partition by user_id order by ts range between unbounded preceding and current row)
+  - count(*) over (partition by user_id, ts) as prior from clean)""", """
+select c.row_id, prior > 0 and since < c.ts as country_seen_before from clean c join p using (row_id)
+join known k on k.user_id = c.user_id and k.country = c.country"""))
+def _(spark, sf):
+    """Confirmed values are known from the confirmation on, whatever was decided then."""
+    logins = _login_stream(spark, sf)
+    told = live.confirmations(_login_stream(spark, sf).where(_CONFIRMED).withColumn("country", F.lit("SE")))
+    scores = live.live_scores(logins, live.LiveParams(risk=RISK), told)
+    table = live.run_to_table(scores, scratch_dir(spark, "live"))
+    return table.select("row_id", "country_seen_before")
+
+
 # ------------------------------------------------------------------------ models
 
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -1057,6 +1087,77 @@ def _(spark, sf):
     return models.score_envelope(env, test).select(*_SCORED)
 
 
+def _checked(model: str, rows: DataFrame, label, top: float | None, least_auc: float) -> DataFrame:
+    """One line per model: rows scored, scores missing or out of range, and whether the ranking is too weak."""
+    c = F.col
+    outside = (c("score") < 0) | (c("score") > top) if top is not None else c("score") < 0
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("rows_scored"), F.count_if(c("score").isNull() | F.isnan("score")).alias("missing"),
+        F.count_if(outside).alias("out_of_range"))
+    auc = evaluate.roc_auc(evaluate.score_histogram(rows.where("score is not null"), label)).select("auc")
+    weak = F.when(auc.scalar() >= least_auc, 0).otherwise(1).cast("bigint")
+    return seen.select(F.lit(model).alias("model"), "*", weak.alias("weak_ranking"))
+
+
+_MODELS = ("logistic", "boosting", "isolation_forest", "local_outlier_factor", "envelope", "average")
+
+
+@query("model_checks", sql.with_(f"{sql.clean()}, {_TIME_CUT}", f"""
+select model, (select count(*) from clean where ts >= (select cut_ts from cut)) as rows_scored,
+ cast(0 as bigint) as missing, cast(0 as bigint) as out_of_range, cast(0 as bigint) as weak_ranking
+from (select unnest([{', '.join(repr(m) for m in _MODELS)}]) as model)"""))
+def _(spark, sf):
+    """Labels that follow from features must be learned; rows far outside must be ranked as anomalies."""
+    train, test = _folds(spark, sf)
+    told = F.col("is_night") | F.col("country_change")
+    taught, asked = train.withColumn("is_gold", told), test.withColumn("is_gold", told)
+    planted = F.col("row_id") % 20 == 0
+    far = {"rapid_login_rate": 400, "login_frequency_today": 4000}
+    quiet = train.where("not is_attack_ip")
+    odd = test.withColumn("is_gold", planted).withColumns({n: F.when(planted, F.lit(v).cast("bigint")).otherwise(F.col(n)) for n, v in far.items()})
+    odd = odd.withColumn("is_ato", planted)
+    learned = {
+        "logistic": models.score_supervised(models.fit_logistic(taught), asked),
+        "boosting": models.score_supervised(models.fit_boosting(taught), asked),
+    }
+    unlike = {
+        "isolation_forest": models.score_isolation_forest(models.fit_isolation_forest(quiet), odd),
+        "local_outlier_factor": models.novelty_outlier_factor(quiet, odd),
+        "envelope": models.score_envelope(models.fit_envelope(quiet, max_skew=float("inf")), odd),
+    }
+    unlike = {k: written(v.select(*_SCORED), k) for k, v in unlike.items()}
+    mean = models.averaged_score(models.stack_scores(**unlike), "is_gold")
+    top = {"logistic": 1.0, "boosting": 1.0, "isolation_forest": 1.0, "average": 1.0}
+    lines = [_checked(k, v, _gold(), top.get(k), 0.9) for k, v in {**learned, **unlike, "average": mean}.items()]
+    out = lines[0]
+    for line in lines[1:]:
+        out = out.unionByName(line)
+    return out
+
+
+_THREE = ("hour", "rapid_login_rate", "login_frequency_today")
+
+
+def _envelope_sql() -> str:
+    """The inverse of a symmetric 3 x 3 matrix by cofactors."""
+    a, b, c = _THREE
+    return sql.with_(f"""{sql.features()}, {_TIME_CUT},
+tr as (select * from features where ts < (select cut_ts from cut) and not is_attack_ip),
+s as (select avg({a}) as ma, avg({b}) as mb, avg({c}) as mc, covar_samp({a}, {a}) as aa, covar_samp({b}, {b}) as bb,
+  covar_samp({c}, {c}) as cc, covar_samp({a}, {b}) as ab, covar_samp({a}, {c}) as ac, covar_samp({b}, {c}) as bc from tr),
+k as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from s),
+x as (select row_id, {a} - ma as u, {b} - mb as v, {c} - mc as w, k.* from features, k where ts >= (select cut_ts from cut))""", """
+select row_id, round(round((u * u * (bb * cc - bc * bc) + v * v * (aa * cc - ac * ac) + w * w * (aa * bb - ab * ab)
+ + 2 * u * v * (ac * bc - ab * cc) + 2 * u * w * (ab * bc - ac * bb) + 2 * v * w * (ab * ac - aa * bc)) / det, 4), 3) as distance from x""")
+
+
+@query("model_envelope_three", _envelope_sql())
+def _(spark, sf):
+    train, test = _folds(spark, sf)
+    env = models.fit_envelope(train.where("not is_attack_ip"), float("inf"), _THREE)
+    return models.score_envelope(env, test).select("row_id", F.round("score", 3).alias("distance"))
+
+
 @query("model_comparison")
 def _(spark, sf):
     train, test = _folds(spark, sf)

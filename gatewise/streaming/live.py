@@ -169,7 +169,7 @@ def write_profile_deltas(path: str):
     Each batch owns a folder and overwrites it on a retry, so a batch counts once.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        delta = batch.groupBy("user_id", "country", "device_type").agg(
+        delta = batch.groupBy("user_id", "country", "device_type", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(
             F.count(F.lit(1)).alias("events"), F.count_if(~F.col("login_success")).alias("failures"),
             F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         )
@@ -190,10 +190,20 @@ def run_profiles(logins: DataFrame, path: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Current profile per user, merged from the log; filter by ``user_id`` for a lookup."""
+    """Current profile per user, merged from the log; filter by ``user_id`` for a lookup.
+
+    ``usual_hour`` is the hour with the most logins (the earliest of equals), ``most_a_day`` the busiest day's count.
+    """
     log = spark.read.parquet(f"{path}/deltas")
-    return log.groupBy("user_id").agg(
+    base = log.groupBy("user_id").agg(
         F.count_distinct("country").alias("countries"), F.count_distinct("device_type").alias("devices"),
         F.sum("events").alias("events"), F.sum("failures").alias("failures"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.count_distinct("day").alias("days"),
     )
+    days = log.groupBy("user_id", "day").agg(F.sum("events").alias("n")).groupBy("user_id").agg(F.max("n").alias("most_a_day"))
+    hours = log.groupBy("user_id", "hour").agg(F.sum("events").alias("n")).where("hour is not null")
+    hours = hours.groupBy("user_id").agg(F.max_by("hour", F.struct("n", -F.col("hour"))).alias("usual_hour"))
+    named = lambda df: df.withColumnRenamed("user_id", "_user")
+    same = F.col("user_id").eqNullSafe(F.col("_user"))
+    joined = base.join(named(days), same, "left").drop("_user").join(named(hours), same, "left").drop("_user")
+    return joined
