@@ -6,10 +6,11 @@ A vector is stored under its own key and looked up under that key and under keys
 to a neighbouring lattice point. Candidates are verified by their cosine in double precision.
 
 Very close vectors are grouped first, in linear work: within a cell those within ``TIGHT`` of the
-cell's least vector. All members of a group link with each other (twice the angle is far below the
-threshold), so a group's pairs are counted, not listed, and only group leaders are hashed. Two groups
-whose leaders are apart by the angle threshold, plus or minus both radii, link wholly or not at all;
-for the rest members are compared, group by group.
+cell's least vector. All members of a group link with each other (twice that angle is below the
+threshold's), so a group's pairs are counted, not listed. A group is hashed by its pivot, the mean
+direction of some members; its radius is the largest angle of any member to it. Two groups whose
+pivots' angle, plus or minus both radii, is within or beyond the threshold link wholly or not at all; for
+the rest members are compared, block by block.
 
 Defined results: vectors that are NULL, empty, zero, of another length than most or that hold NULL or non-finite
 components link with nothing and are kept; equal vectors link; repeated rows of one id are one vector
@@ -30,7 +31,8 @@ from gatewise.llm.components import components
 from gatewise.session import written
 
 COSINE = 0.9
-TIGHT = 0.995
+TIGHT = 0.976
+PIVOT_MEMBERS = 16
 TABLES, BLOCKS, SCALE, PROBES = 14, 2, 1.8, 12
 SEED = 11
 
@@ -143,24 +145,39 @@ def _cosine(x: str, y: str):
     return F.least(F.lit(1.0), _dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y)))
 
 
-def tight_groups(vectors: DataFrame, dim: int, turns: int = 3) -> DataFrame:
-    """vec_id, vector, leader and angle to the leader, who has the least id of the group."""
+def tight_groups(vectors: DataFrame, dim: int, turns: int = 4) -> DataFrame:
+    """vec_id, vector and leader, who has the least id of the group."""
     hashed = vectors.mapInArrow(_hashed(dim, turns, 0), "vec_id long, t int, key long, own boolean").drop("own")
     hashed = written(hashed.groupBy("vec_id").pivot("t", list(range(turns))).agg(F.first("key")), "cells")
-    now = vectors.join(hashed, "vec_id").withColumn("leader", F.col("vec_id")).withColumn("angle", F.lit(0.0)).withColumn("alone", F.lit(True))
+    now = vectors.join(hashed, "vec_id").withColumn("leader", F.col("vec_id")).withColumn("alone", F.lit(True))
     for turn in range(turns):
         # Leaders so far and single vectors meet; of a cell only the least one takes others in.
         first = now.where("leader = vec_id").groupBy(F.col(str(turn)).alias("cell")).agg(F.min(F.struct(F.col("vec_id").alias("head"), F.col("vector").alias("center"))).alias("m"))
         met = now.join(first.select("cell", "m.head", "m.center"), F.col(str(turn)) == F.col("cell"), "left")
         cos = _cosine("vector", "center")
         joins = F.col("alone") & F.coalesce((F.col("head") < F.col("vec_id")) & (cos >= TIGHT), F.lit(False))  # a cell may have no leader
-        met = met.withColumn("angle", F.when(joins, F.acos(cos)).otherwise(F.col("angle"))).withColumn("leader", F.when(joins, F.col("head")).otherwise(F.col("leader")))
+        met = met.withColumn("leader", F.when(joins, F.col("head")).otherwise(F.col("leader")))
         now = written(met.drop("cell", "head", "center", "alone"), "tight")
         if turn < turns - 1:
             # A leader with members is not moved any more.
             size = now.groupBy(F.col("leader").alias("vec_id")).agg((F.count(F.lit(1)) == 1).alias("alone"))
             now = now.join(size, "vec_id", "left").withColumn("alone", F.coalesce(F.col("alone"), F.lit(False)) & (F.col("leader") == F.col("vec_id")))
-    return now.select("vec_id", "vector", "leader", "angle")
+    return now.select("vec_id", "vector", "leader")
+
+
+def group_pivots(members: DataFrame) -> DataFrame:
+    """leader, size, radius and vector (the pivot) of every group; a single vector is its own pivot."""
+    size = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    many = members.join(size.where("size > 1"), "leader")
+    drawn = F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / PIVOT_MEMBERS)) == 0  # about so many of each group
+    unit = F.transform("vector", lambda v: v / F.sqrt(_dot("vector", "vector")))
+    parts = many.where(drawn | (F.col("vec_id") == F.col("leader"))).select("leader", F.posexplode(unit).alias("at", "v"))
+    parts = parts.groupBy("leader", "at").agg(F.avg("v").alias("v"))
+    pivots = parts.groupBy("leader").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]).alias("pivot"))
+    pivots = written(pivots, "pivots")
+    reach = many.join(pivots, "leader").groupBy("leader").agg(F.max(F.acos(_cosine("vector", "pivot"))).alias("radius"))
+    out = members.where("leader = vec_id").join(size, "leader").join(pivots, "leader", "left").join(reach, "leader", "left")
+    return out.select("leader", "size", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("pivot", "vector").alias("vector"))
 
 
 def candidate_pairs(vectors: DataFrame, dim: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -204,9 +221,8 @@ def near_vectors(embeddings: DataFrame, block: int = 512) -> DataFrame:
     sound = sound.where((F.size("vector") == dim) & (top > 0)).withColumn("_top", top)
     sound = sound.select("vec_id", F.transform("vector", lambda v: v / F.col("_top")).alias("vector"))
     members = written(tight_groups(sound, dim), "groups")
-    groups = members.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.max("angle").alias("radius"))
-    leaders = members.where("leader = vec_id").select("leader", "vector").join(groups, "leader")
-    leaders = written(leaders, "leaders")
+    leaders = written(group_pivots(members), "leaders")
+    groups = leaders.select("leader", "size")
     pairs = candidate_pairs(leaders.select(F.col("leader").alias("vec_id"), "vector"), dim)
     one = leaders.select([F.col(c).alias(f"a_{c}") for c in leaders.columns])
     two = leaders.select([F.col(c).alias(f"b_{c}") for c in leaders.columns])
@@ -225,7 +241,7 @@ def near_vectors(embeddings: DataFrame, block: int = 512) -> DataFrame:
     # Members of groups that link in part are compared in blocks of bounded size.
     some = met.where("verdict = 'some'")
     asked = some.select(F.col("a").alias("leader")).unionByName(some.select(F.col("b").alias("leader"))).distinct()
-    blocks = members.join(asked, "leader").join(groups.select("leader", "size"), "leader")
+    blocks = members.join(asked, "leader").join(groups, "leader")
     blocks = blocks.withColumn("blk", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("size") / block)))
     blocks = blocks.groupBy("leader", "blk").agg(F.collect_list(F.struct("vec_id", "vector")).alias("list"))
     compared = some.select("a", "b").join(blocks.select(F.col("leader").alias("a"), F.col("list").alias("xs")), "a").join(blocks.select(F.col("leader").alias("b"), F.col("list").alias("ys")), "b")
@@ -233,7 +249,7 @@ def near_vectors(embeddings: DataFrame, block: int = 512) -> DataFrame:
     edges = whole.select("a", "b").unionByName(partial.select("a", "b").distinct())
     comps = components(edges).withColumnRenamed("id", "leader")
     counted = partial.groupBy("vec_id").agg(F.sum("n").alias("own"))
-    out = members.select("vec_id", "leader").join(groups.select("leader", "size"), "leader").join(gained, "leader", "left").join(comps, "leader", "left").join(counted, "vec_id", "left")
+    out = members.select("vec_id", "leader").join(groups, "leader").join(gained, "leader", "left").join(comps, "leader", "left").join(counted, "vec_id", "left")
     zero = F.lit(0).cast("long")
     out = out.select("vec_id", (F.col("size") - 1 + F.coalesce("gained", zero) + F.coalesce("own", zero)).alias("n_links"), F.coalesce("component", "leader").alias("component_id"))
     done = rows.select("vec_id").join(out, "vec_id", "left").select("vec_id", F.coalesce("n_links", zero).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
