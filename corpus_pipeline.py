@@ -28,9 +28,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = jaccard.WIDTH, percent: int = jaccard.PERCENT) -> DataFrame:
+    """Near copies are as in op7, three words and 90 %, unless other limits are given."""
     prepare(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, width, percent)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
