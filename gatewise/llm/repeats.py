@@ -11,9 +11,9 @@ is a prefix of another, so the order of phrase suffixes is the order of the byte
 blanks are sorted byte by byte. An anchor with very many forms is split: its windows are dealt by their
 whole bytes instead, and equal ones meet.
 
-Skew: copies inside a task are combined before the shuffle, so an anchor sends at most one row per form and
-task; a partition of the sort holds about ``SORT_BYTES``. Anchors, forms and windows are told apart by
-64-bit hashes (windows of a split anchor by 128 bits).
+Skew: copies inside a task are combined before the shuffle, so an anchor sends at most one row per form, text of one id and
+task; a partition of the sort holds about ``SORT_BYTES``. Anchors, forms, windows and the texts of one id or
+without id are told apart by 64-bit hashes (windows of a split anchor by 128 bits).
 
 Defined results: NULL is an empty text; a text under 100 bytes keeps all; equal windows at equal
 places of rows of one id keep their bytes, for none starts earlier; a missing id comes before all others; an
@@ -89,24 +89,29 @@ def runs(data: np.ndarray, offsets: np.ndarray):
     return h[anchor], form, row[first], begin - offsets[row[first]], count, anchor - begin
 
 
-def _place(start, count, behind, tag):
-    """A run's place in its document as one number, ordered by its start; ``tag`` tells rows of one id apart."""
-    return (start << 32) | (count << 25) | (behind << 18) | tag
+def _place(start, count, behind):
+    """A run's place in its document as one number, ordered by its start."""
+    return (start << 14) | (count << 7) | behind
 
 
 def _unplace(place):
-    return place >> 32, (place >> 25) & 127, (place >> 18) & 127, place & ((1 << 18) - 1)
+    return place >> 14, (place >> 7) & 127, place & 127
 
 
 def text_tags(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """18 bits of a hash of each text."""
+    """A 64-bit hash of each text, which tells rows of one id, or without id, apart."""
     out = np.zeros(len(offsets) - 1, np.int64)
     full = np.flatnonzero(np.diff(offsets))
-    out[full] = (tb.word_hashes(data, offsets[full], offsets[full + 1]) >> _U(46)).astype(np.int64)
+    out[full] = tb.word_hashes(data, offsets[full], offsets[full + 1]).view(np.int64)
     return out
 
 
-_RUN = "key long, form long, doc long, place long, copy boolean"
+def _repeated_rows(doc, place, tag) -> np.ndarray:
+    """Whether a run is that of the row before: the same place of the same text under one id."""
+    return np.r_[False, (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (tag[1:] == tag[:-1])]
+
+
+_RUN = "key long, form long, doc long, place long, tag long, copy boolean"
 
 
 def _find(frames):
@@ -115,23 +120,23 @@ def _find(frames):
     rows = 0
 
     def flush():
-        anchor, form, doc, place = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((place, doc, form, anchor))
-        anchor, form, doc, place = anchor[order], form[order], doc[order], place[order]
+        anchor, form, doc, place, tag = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((tag, place, doc, form, anchor))
+        anchor, form, doc, place, tag = anchor[order], form[order], doc[order], place[order], tag[order]
         lead = np.r_[True, (anchor[1:] != anchor[:-1]) | (form[1:] != form[:-1])]
         head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
-        copy = (doc != doc[head]) | ((place >> 32) != (place[head] >> 32))
-        same = ~lead & ~copy  # the same place of a repeated row: one is enough
+        copy = (doc != doc[head]) | (place != place[head])
+        same = ~lead & ~copy & _repeated_rows(doc, place, tag)  # of a repeated row one is enough
         anchor = np.where(copy, tb.mix(place.astype(_U) + doc.astype(_U)), anchor)  # copies are done: spread them
         keep = ~same
         for lo in range(0, int(keep.sum()), 100_000):
-            part = [c[keep][lo:lo + 100_000] for c in (anchor.view(np.int64), form.view(np.int64), doc, place, copy)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["key", "form", "doc", "place", "copy"])
+            part = [c[keep][lo:lo + 100_000] for c in (anchor.view(np.int64), form.view(np.int64), doc, place, tag, copy)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["key", "form", "doc", "place", "tag", "copy"])
 
     for batch, data, offsets in tb.batches(frames):
         anchor, form, row, start, count, behind = runs(data, offsets)
         doc = batch.column(0).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-        held.append([anchor, form, doc, _place(start, count, behind, text_tags(data, offsets)[row])])
+        held.append([anchor, form, doc, _place(start, count, behind), text_tags(data, offsets)[row]])
         rows += len(row)
         if rows >= HELD_ROWS:
             yield from flush()
@@ -140,29 +145,32 @@ def _find(frames):
         yield from flush()
 
 
-_SPLIT = "kind int, key long, form long, doc long, place long"
+_SPLIT = "kind int, key long, form long, doc long, place long, tag long"
 COPY, FORM = 0, 1
 
 
 def _split(frames):
-    """Runs sorted by key, form and place: copies, and the first run of each form of keys with several."""
+    """Runs sorted by key, form and place: copies, and the first run of each form of keys with several.
+
+    Different texts of one id, or without id, may hold a form at one place: each of them is first.
+    """
     open_group: list = []  # parts of the last key, whose rows may go on in the next batch
 
     def emit(parts):
-        key, form, doc, place, copy = (np.concatenate(c) for c in zip(*parts))
+        key, form, doc, place, tag, copy = (np.concatenate(c) for c in zip(*parts))
         lead = np.r_[True, (key[1:] != key[:-1]) | (form[1:] != form[:-1])] & ~copy
         head = np.maximum.accumulate(np.where(lead, np.arange(len(key)), -1))
-        again = copy | (~lead & ((doc != doc[head]) | ((place >> 32) != (place[head] >> 32))))
+        again = copy | (~lead & ((doc != doc[head]) | (place != place[head])))
         group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
         forms = np.bincount(group, lead)
-        several = lead & (forms[group] > 1)
+        several = ~again & (lead | ~_repeated_rows(doc, place, tag)) & (forms[group] > 1)
         pick = again | several
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.where(again[pick], COPY, FORM).astype(np.int32)), *(pa.array(c[pick]) for c in (key, form, doc, place))],
-            ["kind", "key", "form", "doc", "place"])
+            [pa.array(np.where(again[pick], COPY, FORM).astype(np.int32)), *(pa.array(c[pick]) for c in (key, form, doc, place, tag))],
+            ["kind", "key", "form", "doc", "place", "tag"])
 
     for batch in frames:
-        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
         if not len(part[0]):
             continue
         cut = int(np.searchsorted(part[0], part[0][-1]))  # where the last key begins
@@ -193,7 +201,7 @@ def _fetch(frames):
             text = press.decompress(batch.column("packed")[r].as_py())
             asked = batch.column("asked")[r].values
             for key, place, split in zip(asked.field("key").to_pylist(), asked.field("place").to_pylist(), asked.field("split").to_pylist()):
-                start, count, _, _ = _unplace(place)
+                start, count, _ = _unplace(place)
                 pieces = [(start + k, 1) for k in range(count)] if split else [(start, count)]
                 for begin, number in pieces:
                     bytes_ = text[begin:begin + number + LENGTH - 1]
@@ -337,13 +345,13 @@ _SPAN = "doc long, tag long, begin long, end long"
 def repeated_spans(docs: DataFrame, packed: DataFrame, forms: int = FORMS, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """doc, tag, begin, end: byte spans, maybe overlapping, that cover every byte to be removed."""
     found = docs.mapInArrow(_find, _RUN)
-    split = found.repartition("key").sortWithinPartitions("key", "form", "doc", "place").mapInArrow(_split, _SPLIT)
+    split = found.repartition("key").sortWithinPartitions("key", "form", "doc", "place", "tag").mapInArrow(_split, _SPLIT)
     split = written(split, "runs", partition_by="kind")
-    tag, start, count = F.col("place").bitwiseAND((1 << 18) - 1), F.shiftright("place", 32), F.shiftright("place", 25).bitwiseAND(127)
-    copies = split.where(F.col("kind") == COPY).select("doc", tag.alias("tag"), start.alias("begin"), (start + count + LENGTH - 1).alias("end"))
+    start, count = F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(127)
+    copies = split.where(F.col("kind") == COPY).select("doc", "tag", start.alias("begin"), (start + count + LENGTH - 1).alias("end"))
     several = split.where(F.col("kind") == FORM)
     hot = several.groupBy("key").agg(F.count(F.lit(1)).alias("forms")).where(F.col("forms") > forms).select("key", F.lit(True).alias("split"))
-    asked = several.join(hot, "key", "left").select("doc", tag.alias("tag"), F.struct("key", "place", F.coalesce("split", F.lit(False)).alias("split")).alias("ask"))
+    asked = several.join(hot, "key", "left").select("doc", "tag", F.struct("key", "place", F.coalesce("split", F.lit(False)).alias("split")).alias("ask"))
     asked = asked.groupBy("doc", "tag").agg(F.collect_list("ask").alias("asked"))  # bounded by the document's own length
     texts = packed.join(asked, ["doc", "tag"]).select("doc", "tag", "packed", "asked")
     pieces = written(texts.mapInArrow(_fetch, "key long, doc long, tag long, start long, n long, bytes binary, digest binary"), "pieces")
