@@ -229,62 +229,76 @@ def _standardised(features: DataFrame, probes: DataFrame | None = None) -> tuple
 
 
 def _blocks(vectors: DataFrame, directions: list[Column], size: int) -> DataFrame:
-    """Rows with (_dir, _block): half-overlapping runs of ``size`` rows along each direction.
+    """Rows with (_dir, _block): half-overlapping runs of ``size`` reference rows along each direction.
 
     Ranks come from a histogram of grid cells plus the rank inside a cell, so the
-    blocks are the same on every run and no task sorts the table.
+    blocks are the same on every run and no task sorts the table. Probes (multiplicity 0) have no
+    rank of their own: they go where a reference row at their place would, so they never push reference rows away.
     """
     c = F.col
     half = size // 2
+    fitted = vectors.where("w > 0").count()
     along = F.array(*[F.struct(F.lit(i).alias("i"), d.alias("p")) for i, d in enumerate(directions)])
     placed = vectors.select("*", F.explode(along).alias("_a")).select(
         *vectors.columns, c("_a.i").alias("_dir"), c("_a.p").alias("_p"), F.floor(c("_a.p") * 1024).alias("_cell")
     )
     # one row per occupied cell of a fixed grid
-    cells = placed.groupBy("_dir", "_cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = placed.groupBy("_dir", "_cell").agg(F.count_if(c("w") > 0).alias("n"))
     below = W.partitionBy("_dir").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select("_dir", "_cell", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_dir", "_cell").orderBy("_p", "vid")) - 1
+    before = W.partitionBy("_dir", "_cell").orderBy("_p", "vid").rowsBetween(W.unboundedPreceding, -1)
+    inside = F.coalesce(F.count_if(c("w") > 0).over(before), F.lit(0))
     ranked = placed.withColumn("_inside", inside).join(starts, ["_dir", "_cell"])
-    ranked = ranked.withColumn("_run", F.floor((c("_start") + c("_inside")) / half))
+    ranked = ranked.withColumn("_run", F.floor(F.least(c("_start") + c("_inside"), F.lit(max(fitted - 1, 0))) / half))
     both = F.array_compact(F.array(c("_run"), F.when(c("_run") > 0, c("_run") - 1)))
     return ranked.select(*vectors.columns, "_dir", F.explode(both).alias("_block"))
 
 
-def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, block: int) -> DataFrame:
+def _neighbours(vectors: DataFrame, zs: list[str], k: int, projections: int, block: int, probed: bool = False) -> DataFrame:
     """(vid, nid, d, nw): near neighbours found inside blocks of projection-sorted vectors.
 
     For each random direction the vectors are cut into blocks of a fixed number of
     rows along their projection. A block yields the k nearest of each member, so nothing
     grows with a dense region: it is cut into more blocks. Vectors are distinct, so
     copies cannot crowd out other neighbours.
+
+    ``probed``: some vectors are probes. Those of a block are dealt into parts of about ``block`` rows, each
+    with all reference rows of the block, so a probe meets at least ``min(k, half a block, all)`` of them.
     """
     rng = np.random.default_rng(11)
 
     def nearest(chunk: pd.DataFrame) -> pd.DataFrame:
         chunk = chunk.sort_values("vid")
-        x = chunk[zs].to_numpy(dtype=float)
-        sq = (x * x).sum(axis=1)
-        d = np.sqrt(np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0.0))
-        np.fill_diagonal(d, np.inf)
-        vid, w = chunk.vid.to_numpy(), chunk.w.to_numpy()
-        d[:, w == 0] = np.inf  # probes are nobody's neighbours
-        m = min(k, len(chunk) - 1)
+        fits = chunk.w.to_numpy() > 0
+        asks = ~fits | (chunk["_part"].to_numpy() == 0)  # reference rows ask once
+        x, vid = chunk[zs].to_numpy(dtype=float), chunk.vid.to_numpy()
+        y, nid, nw = x[fits], vid[fits], chunk.w.to_numpy()[fits]
+        x, vid = x[asks], vid[asks]
+        d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0.0))
+        d[vid[:, None] == nid[None, :]] = np.inf
+        m = min(k, len(nid))
         idx = np.argsort(d, axis=1, kind="stable")[:, :m]
-        rows = np.repeat(np.arange(len(chunk)), m)
+        rows = np.repeat(np.arange(len(vid)), m)
         cols = idx.ravel()
         found = np.isfinite(d[rows, cols])
         rows, cols = rows[found], cols[found]
-        return pd.DataFrame({"vid": vid[rows], "nid": vid[cols], "d": d[rows, cols], "nw": w[cols]})
+        return pd.DataFrame({"vid": vid[rows], "nid": nid[cols], "d": d[rows, cols], "nw": nw[cols]})
 
     directions = [
         reduce(lambda a, b: a + b, [F.col(z) * float(c) for z, c in zip(zs, rng.normal(size=len(zs)))])
         for _ in range(projections)
     ]
-    found = (
-        _blocks(vectors.select("vid", "w", *zs), directions, block).groupBy("_dir", "_block")
-        .applyInPandas(nearest, "vid bigint, nid bigint, d double, nw double")
-    )
+    placed = _blocks(vectors.select("vid", "w", *zs), directions, block)
+    if probed:
+        placed = written(placed, "blocks")
+        parts = placed.where("w = 0").groupBy("_dir", "_block").agg(F.ceil(F.count(F.lit(1)) / block).alias("_parts"))
+        placed = placed.join(parts, ["_dir", "_block"], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        every = F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)
+        own = F.array(F.pmod(F.xxhash64("vid"), F.col("_parts")))
+        placed = placed.withColumn("_part", F.explode(F.when(F.col("w") > 0, every).otherwise(own))).drop("_parts")
+    else:
+        placed = placed.withColumn("_part", F.lit(0).cast("bigint"))
+    found = placed.groupBy("_dir", "_block", "_part").applyInPandas(nearest, "vid bigint, nid bigint, d double, nw double")
     # a pair may be found in several blocks; at most 2 * projections * k rows per vector
     return found.groupBy("vid", "nid").agg(F.min("d").alias("d"), F.first("nw").alias("nw"))
 
@@ -307,11 +321,11 @@ def novelty_outlier_factor(reference: DataFrame, features: DataFrame, k: int = 2
     """``features`` with ``score``: local outlier factor against the rows of ``reference`` only.
 
     Fitted on one table, usually undisturbed training rows, and applied to another: scale, neighbours and
-    densities come from the reference. A row for which no neighbour was found has no score.
+    densities come from the reference. Without reference rows no row has a score.
     """
     c = F.col
     vectors, zs = _standardised(reference, features)
-    found = written(_neighbours(vectors, zs, k, projections, block), "neighbours")
+    found = written(_neighbours(vectors, zs, k, projections, block, probed=True), "neighbours")
     asked = numeric(features).select(F.xxhash64(*FEATURES).alias("vid")).distinct()
     copies = lambda n: vectors.where(n > 0).select("vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), n.alias("nw"))
     fitted = found.join(vectors.where("w > 0").select("vid"), "vid", "left_semi")
@@ -405,14 +419,14 @@ def stack_scores(**models: DataFrame) -> DataFrame:
 
 
 def averaged_score(stacked: DataFrame, *carry: str) -> DataFrame:
-    """Mean over models of min-max scaled scores, one row per ``row_id``.
+    """Mean over models of min-max scaled scores, one row per ``row_id``; missing scores do not count.
 
     The ranges are one row per model (a fixed handful) and are broadcast.
     """
     c = F.col
     ranges = stacked.groupBy("model").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     scaled = stacked.join(F.broadcast(ranges), "model").withColumn(
-        "scaled", F.coalesce(F.try_divide(c("score") - c("lo"), c("hi") - c("lo")), F.lit(0.0))
+        "scaled", F.when(c("score").isNotNull(), F.coalesce(F.try_divide(c("score") - c("lo"), c("hi") - c("lo")), F.lit(0.0)))
     )
     return scaled.groupBy("row_id").agg(
         *[F.first(n).alias(n) for n in carry], F.round(F.avg("scaled"), _DIGITS).alias("score")
