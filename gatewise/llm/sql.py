@@ -92,3 +92,65 @@ kept as (select doc_id, count(*) as n, cast(sum(e - b) as bigint) as gone, max(e
 select doc_id, cast(length(h) / 2 as bigint) as n_bytes, coalesce(gone, 0) as n_removed, coalesce(n, 0) as n_spans,
  sha256(unhex(coalesce(head, '') || substring(h, cast(2 * coalesce(last, 0) + 1 as bigint)))) as kept_sha256
 from d left join kept using (doc_id)"""
+
+
+def _field(column: str) -> str:
+    text = f"cast({column} as varchar)"
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 by its definition, a byte and a bit at a time; ``text`` is ASCII."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda s: cast(ascii(s) as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295)"
+
+
+def manifest() -> str:
+    """Trees level by level; proofs by folding leaves with the other nodes of their runs."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    plain = " || ".join(map(_field, fields))
+    cut = " || ".join(map(_field, (*fields[:-1], "shown")))
+    return f"""with recursive d as (select *, case when {_crc32("cast(doc_id as varchar)")} % 2 = 0 then replace(text, chr(10), '') else text end as shown from documents),
+p as (select doc_id, source, sha256({plain}) as leaf, sha256({cut}) as folded from d),
+s as (select source, row_number() over (order by source nulls first) - 1 as tree, count(*) over () as trees from (select distinct source from documents)),
+l as (select p.*, s.tree, s.trees, row_number() over () as row, row_number() over (partition by s.tree order by doc_id nulls first, leaf) - 1 as pos,
+  count(*) over (partition by s.tree) as n from p join s on p.source is not distinct from s.source),
+nodes as (select tree, 0 as level, pos, leaf as h, n from l
+  union all select tree, level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from nodes where n > 1 group by tree, level, pos // 3, n),
+sub as (select tree, h as subroot from nodes where n = 1),
+top as (select 0 as level, tree as pos, subroot as h, (select count(*) from sub) as n from sub
+  union all select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from top where n > 1 group by level, pos // 3, n),
+run as (select tree, level, pos // 3 as parent, list(h order by pos) as hs from nodes where n > 1 group by tree, level, pos // 3
+  union all select -1, level, pos // 3, list(h order by pos) from top where n > 1 group by level, pos // 3),
+f as (select row, tree, 0 as level, pos, folded as h, '' as seen from l
+  union all select row, f.tree, f.level + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3], '') || f.h || array_to_string(hs[pos % 3 + 2:], '')),
+    seen || array_to_string(hs[1:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '')
+  from f join run on run.tree = f.tree and run.level = f.level and run.parent = pos // 3),
+own as (select row, tree, arg_max(h, level) as h, arg_max(seen, level) as seen from f group by row, tree),
+g as (select row, 0 as level, tree as pos, h, seen from own
+  union all select row, g.level + 1, pos // 3, sha256(array_to_string(hs[1:pos % 3], '') || g.h || array_to_string(hs[pos % 3 + 2:], '')),
+    seen || array_to_string(hs[1:pos % 3], '') || array_to_string(hs[pos % 3 + 2:], '')
+  from g join run on run.tree = -1 and run.level = g.level and run.parent = pos // 3),
+whole as (select row, arg_max(h, level) as h, arg_max(seen, level) as seen from g group by row),
+r as (select h as root from top where n = 1)
+select doc_id, leaf, subroot, root, sha256(seen) as proof_sha256, h as folded_root, h = root as verified
+from l join sub using (tree) join whole using (row), r"""
+
+
+def negatives() -> str:
+    """All anchors against all rows."""
+    return """with v as (select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as x,
+  case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
+  coalesce(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])), 0) as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.x) = len(b.x)),
+p as (select distinct anchor_id, id, score from
+  (select *, dense_rank() over (partition by anchor_id order by score desc, id) as place from s where same) where place <= 5),
+n as (select distinct p.anchor_id, p.id as positive_id, p.score as positive_score, s.id as negative_id, s.score as negative_score,
+  dense_rank() over (partition by p.anchor_id, p.id, p.score order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, cast(positive_score as bigint) as positive_score,
+ cast(negative_score as bigint) as negative_score from n where rank <= 10"""
