@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewise.llm import (
-    decontaminate, jaccard, lattice, merkle, negatives, packing, quality, repeats, ring, secrets, sql, tokencount, toxicity,
+    decontaminate, jaccard, lattice, merkle, negatives, packing, quality, repeats, ring, rules, secrets, sql, tokencount, toxicity,
 )
 from gatewise.session import prepare
 
@@ -55,6 +55,10 @@ def op10_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rules_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_ledger, op2_attention_quality, op3_viterbi_counts, op4_lattice_neighbours, op5_ring_shards, op6_suffix_repeats, op7_jaccard_join,
-        op8_best_fit, op9_string_kernel, op10_prefix_windows, op12_octopus_manifest, op13_segment_negatives,
+        op8_best_fit, op9_string_kernel, op10_prefix_windows, op11_isolation_rules, op12_octopus_manifest, op13_segment_negatives,
     )
 }
 #: The others hold a trained model, a tokenizer or a hash that SQL lacks; tests/llm compares them with plain versions.
