@@ -36,8 +36,8 @@ from gatewise.session import written
 SCALE = 256
 #: Components of all anchors of a pass: 4096 vectors of 64, with their summaries about 6 MB for each executor.
 BLOCK = 1 << 18
-#: Rows looked at together by a task, and pairs scored together.
-ROWS, PAIRS = 2048, 1 << 20
+#: Pairs whose first bounds are worked out together, and components of pairs gathered together: 8 MB of doubles each.
+PAIRS, GATHERED = 1 << 20, 1 << 20
 #: Lengths of segments, the longest first; the last level is followed by exact scores.
 SEGMENTS = (16, 8, 4, 2)
 _LARGEST = (1 << 63) - 1
@@ -106,8 +106,9 @@ def candidates(anchors: Summaries, rows: Summaries, wanted: np.ndarray, least: n
         left = left & (middle + spread >= least[:, None]) & (middle - spread <= most[:, None])
     every_a, every_r = np.nonzero(left)
     out = []
-    for lo in range(0, len(every_a), PAIRS):
-        a, r = every_a[lo:lo + PAIRS], every_r[lo:lo + PAIRS]
+    step = max(1, GATHERED // max(1, anchors.x.shape[1]))
+    for lo in range(0, len(every_a), step):
+        a, r = every_a[lo:lo + step], every_r[lo:lo + step]
         for (am, ad), (rm, rd) in zip(anchors.levels[1:], rows.levels[1:]):
             middle = np.einsum("ij,ij->i", am[a], rm[r])
             spread = np.einsum("ij,ij->i", ad[a], rd[r]) + slack[a, r]
@@ -156,14 +157,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
-def _row_batches(frames) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Rows of one vector length, a bounded number at a time."""
+def _row_batches(frames, blocks: dict[int, "_Anchors"]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Rows of one vector length that anchors have, so many at a time that their pairs are bounded."""
     for batch in frames:
         lengths = batch.column(batch.schema.get_field_index("width")).to_numpy()
-        for width in np.unique(lengths):
+        for width in set(np.unique(lengths).tolist()) & set(blocks):
             part = batch.filter(pa.array(lengths == width))
-            for lo in range(0, len(part), ROWS):
-                yield part.slice(lo, ROWS), int(width)
+            step = max(1, PAIRS // len(blocks[width].id))
+            for lo in range(0, len(part), step):
+                yield part.slice(lo, step), width
 
 
 @dataclass
@@ -184,9 +186,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def _best_same_label(blocks: dict[int, _Anchors], k: int):
     def work(frames):
         best = {w: Best(len(b.id), k) for w, b in blocks.items()}
-        for batch, width in _row_batches(frames):
-            if width not in blocks:
-                continue
+        for batch, width in _row_batches(frames, blocks):
             block, held = blocks[width], best[width]
             rows, ids, label = Summaries(_matrix(batch.column(batch.schema.get_field_index("x")), width)), _column(batch, "id"), _column(batch, "label")
             for value in np.unique(label):  # an anchor meets rows of its own label only
@@ -209,9 +209,7 @@ def _best_in_windows(blocks: dict[int, _Anchors], k: int):
         state = {}
         for width, block in blocks.items():
             state[width] = Best(block.windows.shape[0] * block.windows.shape[1], k)
-        for batch, width in _row_batches(frames):
-            if width not in blocks:
-                continue
+        for batch, width in _row_batches(frames, blocks):
             block, held = blocks[width], state[width]
             n = block.windows.shape[1]
             rows, ids, label = Summaries(_matrix(batch.column(batch.schema.get_field_index("x")), width)), _column(batch, "id"), _column(batch, "label")
