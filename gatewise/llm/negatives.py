@@ -38,6 +38,8 @@ SCALE = 256
 BLOCK = 1 << 18
 #: Pairs whose first bounds are worked out together, and components of pairs gathered together: 8 MB of doubles each.
 PAIRS, GATHERED = 1 << 20, 1 << 20
+#: While more than one in so many pairs is left, a matrix product over all of them is cheaper than gathering those left.
+DENSE = 16
 #: Lengths of segments, the longest first; the last level is followed by exact scores.
 SEGMENTS = (16, 8, 4, 2)
 _LARGEST = (1 << 63) - 1
@@ -81,12 +83,14 @@ class Summaries:
         return out
 
 
+def _exact(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether doubles hold all sums of products of these whole numbers exactly."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2**53
+
+
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers held as doubles."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2**53:
+    if _exact(a, b):
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
     exact = [sum(int(p) * int(q) for p, q in zip(u, v)) for u, v in zip(a, b)]
     return np.array([max(-_LARGEST, min(_LARGEST, s)) for s in exact], np.int64)
@@ -95,21 +99,26 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def candidates(anchors: Summaries, rows: Summaries, wanted: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (anchor, row, score) among the ``wanted`` with ``least <= score <= most``, both per anchor.
 
-    The first level is two matrix products for all pairs; later ones look at the pairs that are left.
+    A level is worked out for all pairs while many are left, and then for those only.
     """
     # what rounding may add to a bound
     slack = 1e-9 * np.outer(anchors.norms, rows.norms) + 1e-6
-    left = wanted
-    if anchors.levels:
-        (am, ad), (rm, rd) = anchors.levels[0], rows.levels[0]
+    left, level, dense = wanted, 0, lambda pairs: np.count_nonzero(pairs) * DENSE > pairs.size
+    while level < len(anchors.levels) and dense(left):
+        (am, ad), (rm, rd) = anchors.levels[level], rows.levels[level]
         middle, spread = am @ rm.T, ad @ rd.T + slack
         left = left & (middle + spread >= least[:, None]) & (middle - spread <= most[:, None])
+        level += 1
+    if level == len(anchors.levels) and dense(left) and _exact(anchors.x, rows.x):
+        whole = anchors.x @ rows.x.T
+        a, r = np.nonzero(left & (whole >= least[:, None]) & (whole <= most[:, None]))
+        return a, r, whole[a, r].astype(np.int64)
     every_a, every_r = np.nonzero(left)
     out = []
     step = max(1, GATHERED // max(1, anchors.x.shape[1]))
     for lo in range(0, len(every_a), step):
         a, r = every_a[lo:lo + step], every_r[lo:lo + step]
-        for (am, ad), (rm, rd) in zip(anchors.levels[1:], rows.levels[1:]):
+        for (am, ad), (rm, rd) in zip(anchors.levels[level:], rows.levels[level:]):
             middle = np.einsum("ij,ij->i", am[a], rm[r])
             spread = np.einsum("ij,ij->i", ad[a], rd[r]) + slack[a, r]
             stays = (middle + spread >= least[a]) & (middle - spread <= most[a])
