@@ -89,13 +89,53 @@ def fit_boosting(train: DataFrame, label: str = "is_gold", trees: int = 10, dept
     return _fit(GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, seed=7), train, label, scale=False)
 
 
+#: Features that are true or false.
+FLAGS = tuple(f for f in FEATURES if f not in ("hour", "rapid_login_rate", "login_frequency_today"))
+
+
+def fit_log_odds(train: DataFrame, label: str = "is_gold") -> Logistic:
+    """Weights from counts: log odds of each flag among positives against negatives (naive Bayes, one added to each count).
+
+    One aggregate and no iterations, so it can be refitted as often as a live path likes; counted features weigh nothing.
+    """
+    positive = F.coalesce(F.col(label), F.lit(False))
+    sums = train.agg(
+        F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"),
+        *[F.count_if(F.col(f) & positive).alias(f"p_{f}") for f in FLAGS], *[F.count_if(F.col(f) & ~positive).alias(f"q_{f}") for f in FLAGS],
+    ).first()
+    p, q, weights, intercept = sums["p"], sums["q"], [], float(np.log((sums["p"] + 1) / (sums["q"] + 1)))
+    for f in FEATURES:
+        if f not in FLAGS:
+            weights.append(0.0)
+            continue
+        yes = np.log((sums[f"p_{f}"] + 1) / (p + 2)) - np.log((sums[f"q_{f}"] + 1) / (q + 2))
+        no = np.log((p - sums[f"p_{f}"] + 1) / (p + 2)) - np.log((q - sums[f"q_{f}"] + 1) / (q + 2))
+        weights.append(float(yes - no))
+        intercept += float(no)
+    return Logistic(tuple(weights), intercept)
+
+
+def probability(model: Logistic) -> Column:
+    """The model as an expression over feature columns."""
+    terms = [F.col(f).cast("double") * w for f, w in zip(FEATURES, model.weights)]
+    odds = reduce(lambda a, b: a + b, terms, F.lit(model.intercept))
+    return F.round(1 / (1 + F.exp(-odds)), _DIGITS)
+
+
+def with_model_score(model, features: DataFrame, name: str = "model_score") -> DataFrame:
+    """Adds the probability of the positive class and keeps the features as they are."""
+    if isinstance(model, Logistic):
+        return features.withColumn(name, probability(model))
+    plain = features.withColumns({f"_kept_{n}": F.col(n) for n in FEATURES})
+    scored = score_supervised(model, plain).withColumnsRenamed({f"_kept_{n}": n for n in FEATURES})
+    return scored.select(*features.columns, F.col("score").alias(name))
+
+
 def score_supervised(model, test: DataFrame) -> DataFrame:
     """Adds ``score``: probability of the positive class."""
     keep = [c for c in test.columns if c not in FEATURES]
     if isinstance(model, Logistic):
-        terms = [F.col(f).cast("double") * w for f, w in zip(FEATURES, model.weights)]
-        odds = reduce(lambda a, b: a + b, terms, F.lit(model.intercept))
-        return test.select(*keep, F.round(1 / (1 + F.exp(-odds)), _DIGITS).alias("score"))
+        return test.select(*keep, probability(model).alias("score"))
     predicted = model.transform(numeric(test))
     return predicted.select(*keep, F.round(vector_to_array("probability")[1], _DIGITS).alias("score"))
 

@@ -21,6 +21,25 @@ def score_events(features: DataFrame, params: RiskParams = RiskParams()) -> Data
     )
 
 
+MODEL_REASON = "the model finds this login suspicious"
+
+
+def combine(scored: DataFrame, points: int = 60, said_from: float = 0.5, params: RiskParams = RiskParams()) -> DataFrame:
+    """Rule scores and a model's ``model_score`` as one score that decides.
+
+    The model adds up to ``points``, in proportion to its probability and rounded down; level, colour and decision follow
+    the sum ``combined_score``. Rules stay in ``score``; the model is among the reasons from a probability of ``said_from`` on.
+    """
+    c = F.col
+    total = scored.withColumn("combined_score", c("score") + F.floor(c("model_score") * points).cast("int"))
+    levelled = total.withColumn("level", risk.level(c("combined_score"), params))
+    return levelled.withColumns({
+        "colour": risk.colour(c("level")),
+        "decision": risk.decision(c("level"), params),
+        "reasons": F.when(c("model_score") >= said_from, F.array_append("reasons", F.lit(MODEL_REASON))).otherwise(c("reasons")),
+    })
+
+
 def gold_label():
     """A successful login from a listed address."""
     return F.coalesce(F.col("is_attack_ip") & F.col("login_success"), F.lit(False))

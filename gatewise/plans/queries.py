@@ -18,7 +18,7 @@ from gatewise.schema import CLEAN_SCHEMA, feature_schema
 from gatewise.session import cut_lineage, prepare, scratch_dir, written
 from gatewise.sources import files, normalize
 from gatewise.sources.projection import logins_from_events, read_logins
-from gatewise.streaming import live
+from gatewise.streaming import live, microbatch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -971,7 +971,8 @@ def accepted_only_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.run_to_table(scores, scratch_dir(spark, "live"))
 
 
-@query("stream_accepted_only")
+@query("stream_accepted_only", sql.with_("recursive " + sql.accepted_only(RISK), """
+select row_id, user_id, score, level, decision, learned from learned_scores"""))
 def _(spark, sf):
     return accepted_only_scores(spark, sf).select("row_id", "user_id", "score", "level", "decision", "learned")
 
@@ -996,6 +997,89 @@ def _(spark, sf):
     return table.select("row_id", "country_seen_before")
 
 
+# ------------------------------------------------- live path by micro-batches
+
+# Small enough that the dominant user is cut and the log is compacted between batches.
+_LIVE = dict(slot_rows=400, compact_every=1, buckets=8)
+
+
+def _slices(spark: SparkSession, events: DataFrame, n: int = 3) -> DataFrame:
+    """Stored events as a stream of ``n`` micro-batches, one after the other in time."""
+    path, rows = scratch_dir(spark, "slices"), written(events.select(*live.LIVE_COLUMNS), "events")
+    bounds = rows.agg(F.percentile_approx("ts", [k / n for k in range(1, n)])).first()[0]
+    edges = [None, *bounds, None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows if low is None else rows.where(F.col("ts") >= F.lit(low))
+        part = part if high is None else part.where(F.col("ts") < F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return live.replay_source(spark, path, rows.schema)
+
+
+def _run_live(spark, sf, feedback=None, **params) -> tuple[DataFrame, str]:
+    path = scratch_dir(spark, "live")
+    made = microbatch.BatchParams(**(_LIVE | params))
+    return microbatch.run_live(_slices(spark, cleaned(spark, sf)), path, made, feedback), path
+
+
+@query("live_features", sql.with_(sql.features(), f"select row_id, {', '.join(FEATURES)}, has_history from features"))
+def _(spark, sf):
+    """Three micro-batches, the dominant user in slots: the same features as over the whole history."""
+    return _run_live(spark, sf)[0].select("row_id", *FEATURES, "has_history")
+
+
+@query("live_accepted_only", SQL["stream_accepted_only"])
+def _(spark, sf):
+    policy = live.LearnPolicy(everything=False)
+    table, _path = _run_live(spark, sf, live=live.LiveParams(risk=RISK, policy=policy))
+    return table.select("row_id", "user_id", "score", "level", "decision", "learned")
+
+
+@query("live_feedback", SQL["stream_feedback"])
+def _(spark, sf):
+    told = live.confirmations(_slices(spark, cleaned(spark, sf).where(_CONFIRMED).withColumn("country", F.lit("SE"))))
+    return _run_live(spark, sf, told)[0].select("row_id", "country_seen_before")
+
+
+_SILENCE_US = 2 * 3600 * 1_000_000
+
+
+@query("live_expired", sql.with_(sql.features(expire_us=_SILENCE_US), f"select row_id, {', '.join(FEATURES)}, has_history from features"))
+def _(spark, sf):
+    """Profiles end when their user has been silent for over two hours; the next login is a first one."""
+    return _run_live(spark, sf, expire_us=_SILENCE_US)[0].select("row_id", *FEATURES, "has_history")
+
+
+@query("live_combined", sql.with_(f"{sql.combined(models.FLAGS, 60, 0.5, scoring.MODEL_REASON).replace('weighed as', _TIME_CUT + ', weighed as', 1)}", """
+select row_id, score, model_score, combined_score, level, decision, reasons from combined"""))
+def _(spark, sf):
+    """A model learned from the earlier rows, added to the rules on the live path."""
+    train, _test = _folds(spark, sf)
+    table, _path = _run_live(spark, sf, model=models.fit_log_odds(train))
+    return table.select(
+        "row_id", "score", "model_score", "combined_score", "level", "decision", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("live_profiles", sql.with_(sql.clean(), """
+select user_id, count(*) as events, count(*) as learned, count(*) filter (where not login_success) as failures,
+ min(ts) as first_seen, max(ts) as last_seen, list_sort(list_distinct(list(country))) as countries,
+ list_sort(list_distinct(list(device_type))) as devices, cast(min(at_peak) as integer) as usual_hour
+from (select *, first_value(h) over (partition by user_id order by per_hour desc, h) as at_peak
+  from (select *, extract(hour from ts) as h, count(*) over (partition by user_id, extract(hour from ts)) as per_hour from clean))
+group by user_id"""))
+def _(spark, sf):
+    _table, path = _run_live(spark, sf)
+    return microbatch.profiles(microbatch.profile_store(spark, path, microbatch.BatchParams(**_LIVE)).read())
+
+
+@query("live_risks", sql.with_(sql.scores(), """
+select row_id, cast(score as integer) as score, level, decision, reasons from scored"""))
+def _(spark, sf):
+    """The table behind the risk lookup, whole."""
+    _table, path = _run_live(spark, sf, risk_lookup=True)
+    risks = microbatch.risk_store(spark, path, microbatch.BatchParams(**_LIVE)).read()
+    return risks.select("row_id", "score", "level", "decision", "reasons")
+
+
 # ------------------------------------------------------------------------ models
 
 def _folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -116,7 +116,16 @@ clean as (
   from typed)"""
 
 
-def features(params: RiskParams = RiskParams(), profile: str = "documented") -> str:
+def lives(expire_us: int) -> str:
+    """CTE ``lived`` over ``clean``: users renamed by when their silence of over ``expire_us`` last ended."""
+    return f"""gaps as (select *, epoch_us(ts) as t, max(epoch_us(ts)) over (partition by user_id order by epoch_us(ts)
+    range between unbounded preceding and 1 preceding) as before from clean),
+begun as (select *, max(case when before is null or t - before > {expire_us} then t end) over
+    (partition by user_id order by t range between unbounded preceding and current row) as life from gaps),
+lived as (select * exclude (t, before, life) replace (user_id || ':' || life as user_id) from begun)"""
+
+
+def features(params: RiskParams = RiskParams(), profile: str = "documented", expire_us: int | None = None) -> str:
     """CTEs ending in ``features``: clean rows with features from plain windows."""
     seen = ",\n    ".join(
         f"coalesce(us > min(us) over (partition by user_id, {col}), false) as {kind}_seen_before"
@@ -124,8 +133,9 @@ def features(params: RiskParams = RiskParams(), profile: str = "documented") ->
     )
     lo, hi = params.night_hours
     back = "order by us range between"
-    return f"""{clean(profile)},
-stamped as (select *, epoch_us(ts) as us, cast(ts as date) as day, hour(ts) as hr from clean),
+    base, source = (clean(profile), "clean") if expire_us is None else (f"{clean(profile)},\n{lives(expire_us)}", "lived")
+    return f"""{base},
+stamped as (select *, epoch_us(ts) as us, cast(ts as date) as day, hour(ts) as hr from {source}),
 counted as (
   select *, {seen},
     count(*) over (partition by user_id {back} unbounded preceding and 1 preceding) as prior_events,
@@ -233,3 +243,54 @@ sample as (select * exclude (place) from ranked
 
 def with_(ctes: str, body: str) -> str:
     return f"with {ctes.strip()}\n{body}"
+
+
+def accepted_only(params: RiskParams = RiskParams(), accepted: str = "allow") -> str:
+    """CTEs ending in ``learned_scores``: logins read in order, a time at a time; only accepted ones teach values.
+
+    ``known`` grows along each user's times; what is counted of attempts needs no learning.
+    """
+    kinds = {k: f"'{k}=' || coalesce(cast({col} as varchar), '')" for k, col in KINDS.items()}
+    new = {k: f"(len(known) > 0 and not list_contains(known, {v}))" for k, v in kinds.items()}
+    tests = {
+        "new_country": new["country"], "new_ip": new["ip"], "new_asn": new["asn"], "new_device": new["device"], "new_os": new["os"],
+        "new_browser": new["browser"], "recent_failure": "failed_recently", "night": "is_night",
+        "rapid": f"(len(known) > 0 and burst >= {params.rapid_min})", "frequency": f"(len(known) > 0 and today >= {params.frequency_min})",
+    }
+    points = " + ".join(f"(case when {tests[r]} then {p} else 0 end)" for r, p, _ in RULES)
+    levels = " ".join(f"when score >= {low} then {quoted(n)}" for n, low in LEVELS)
+    acts = " ".join(f"when {quoted(lv)} then {quoted(a)}" for lv, a in params.decisions)
+    limit = min([low for n, low in LEVELS if dict(params.decisions)[n] != accepted], default=1 << 30)
+    return f"""{features(params)},
+facts as (select f.*, c.burst, c.today, dense_rank() over (partition by f.user_id order by f.ts) as step
+  from features f join counted c using (row_id)),
+walk as (select user_id, cast(0 as bigint) as step, cast([] as varchar[]) as known from facts group by user_id
+  union all
+  select w.user_id, w.step + 1, list_distinct(list_concat(w.known,
+    flatten(list([{", ".join(kinds.values())}]) filter (where {points} < {limit}))))
+  from (select w.user_id, w.step, w.known, f.* exclude (user_id, step) from walk w join facts f on f.user_id = w.user_id and f.step = w.step + 1) w
+  group by w.user_id, w.step, w.known),
+judged as (select f.*, {points} as new_score from facts f join walk w on w.user_id = f.user_id and w.step = f.step - 1),
+levelled_scores as (select row_id, user_id, new_score as score, case {levels.replace("score", "new_score")} end as level from judged),
+learned_scores as (select *, case level {acts} end as decision, case level {acts} end = {quoted(accepted)} as learned from levelled_scores)"""
+
+
+def combined(flags, points: int, said_from: float, reason: str, params: RiskParams = RiskParams()) -> str:
+    """CTEs ending in ``combined``: rule scores plus a model of flag counts learned from rows before the time cut."""
+    at = lambda f, y, v: f"(count(*) filter (where {f} = {v} and is_gold = {y}) + 1.0) / (count(*) filter (where is_gold = {y}) + 2)"
+    weights = ", ".join(
+        f"ln({at(f, 'true', 'true')}) - ln({at(f, 'false', 'true')}) as yes_{f}, ln({at(f, 'true', 'false')}) - ln({at(f, 'false', 'false')}) as no_{f}"
+        for f in flags)
+    odds = " + ".join(f"(case when {f} then yes_{f} else no_{f} end)" for f in flags)
+    levels = " ".join(f"when combined_score >= {low} then {quoted(n)}" for n, low in LEVELS)
+    acts = " ".join(f"when {quoted(lv)} then {quoted(a)}" for lv, a in params.decisions)
+    return f"""{scores(params)},
+known as (select s.* replace (coalesce(is_gold, false) as is_gold) from scored s),
+weighed as (select ln((count(*) filter (where is_gold) + 1.0) / (count(*) filter (where not is_gold) + 1.0)) as base, {weights}
+  from known where ts < (select cut_ts from cut)),
+modelled as (select k.* exclude (level, decision, colour, reasons), reasons as said, round(1 / (1 + exp(-(base + {odds}))), 4) as model_score
+  from known k, weighed),
+summed as (select *, score + cast(floor(model_score * {points}) as integer) as combined_score from modelled),
+ranked as (select *, case {levels} end as level from summed),
+combined as (select *, case level {acts} end as decision,
+   concat_ws('; ', nullif(said, ''), case when model_score >= {said_from} then {quoted(reason)} end) as reasons from ranked)"""

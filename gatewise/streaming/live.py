@@ -60,8 +60,8 @@ def live_facts(logins: DataFrame, params: LiveParams = LiveParams(), feedback: D
     )
 
 
-def features_from_facts(facts: DataFrame, params: RiskParams) -> DataFrame:
-    """The batch features, from facts instead of windows."""
+def features_from_facts(facts: DataFrame, params: RiskParams, *further: str) -> DataFrame:
+    """The batch features, from facts instead of windows; ``further`` columns are handed on."""
     c = F.col
     made = {
         **risk.calendar(c("ts"), params),
@@ -73,7 +73,7 @@ def features_from_facts(facts: DataFrame, params: RiskParams) -> DataFrame:
     }
     return facts.where(c("row_kind") == LOGIN).select(
         *LIVE_COLUMNS, *[made[n].alias(n) for n in FEATURES],
-        (c("_prior") > 0).alias("has_history"), c("_learned").alias("learned"),
+        (c("_prior") > 0).alias("has_history"), c("_learned").alias("learned"), *further,
     )
 
 
