@@ -37,8 +37,10 @@ def even_cuts(rows: DataFrame, key: str, at: str, slot_rows: int, max_heavy_shar
     return sized.select(key, F.array_sort(F.array_distinct(chosen)).alias("cuts"))
 
 
-def slotted(rows: DataFrame, cuts: DataFrame, key: str, at: str, slot: str = "_slot") -> DataFrame:
-    """``rows`` with the number of the slot each lies in; NULL for keys that are not cut."""
+def slotted(rows: DataFrame, cuts: DataFrame | None, key: str, at: str, slot: str = "_slot") -> DataFrame:
+    """``rows`` with the number of the slot each lies in; NULL for keys that are not cut, and for all without ``cuts``."""
+    if cuts is None:
+        return rows.withColumn(slot, F.lit(None).cast("int"))
     marks = cuts.select(F.col(key).alias("_cut_key"), "cuts")
     joined = rows.join(F.broadcast(marks), F.col(key) == F.col("_cut_key"), "left")
     number = F.size(F.filter("cuts", lambda c: c <= F.col(at)))
@@ -47,13 +49,18 @@ def slotted(rows: DataFrame, cuts: DataFrame, key: str, at: str, slot: str = "_s
 
 def running_before(
     rows: DataFrame, keys: Sequence[str], at: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None,
-    slot: str = "_slot",
+    slot: str = "_slot", cut: bool = True,
 ) -> DataFrame:
-    """``rows`` with sums and maxima over the strictly earlier rows of the same keys; NULL where there are none."""
+    """``rows`` with sums and maxima over the strictly earlier rows of the same keys; NULL where there are none.
+
+    ``cut``: whether any key may lie in more than one slot.
+    """
     sums, maxima = sums or {}, maxima or {}
     inside = W.partitionBy(*keys, slot).orderBy(at).rangeBetween(W.unboundedPreceding, -1)
     out = rows.withColumns(
         {n: F.sum(c).over(inside) for n, c in sums.items()} | {n: F.max(c).over(inside) for n, c in maxima.items()})
+    if not cut:
+        return out
     # one row per slot of keys that are cut, combined before the shuffle
     made = [F.sum(c).alias(n) for n, c in sums.items()] + [F.max(c).alias(n) for n, c in maxima.items()]
     totals = rows.where(F.col(slot).isNotNull()).groupBy(*keys, slot).agg(*made)

@@ -1003,7 +1003,7 @@ def _(spark, sf):
 _LIVE = dict(slot_rows=400, compact_every=1, buckets=8)
 
 
-def _slices(spark: SparkSession, events: DataFrame, n: int = 3) -> DataFrame:
+def _slices(spark: SparkSession, events: DataFrame, n: int = 2) -> DataFrame:
     """Stored events as a stream of ``n`` micro-batches, one after the other in time."""
     path, rows = scratch_dir(spark, "slices"), written(events.select(*live.LIVE_COLUMNS), "events")
     bounds = rows.agg(F.percentile_approx("ts", [k / n for k in range(1, n)])).first()[0]
@@ -1023,7 +1023,7 @@ def _run_live(spark, sf, feedback=None, **params) -> tuple[DataFrame, str]:
 
 @query("live_features", sql.with_(sql.features(), f"select row_id, {', '.join(FEATURES)}, has_history from features"))
 def _(spark, sf):
-    """Three micro-batches, the dominant user in slots: the same features as over the whole history."""
+    """Two micro-batches, the dominant user in slots: the same features as over the whole history."""
     return _run_live(spark, sf)[0].select("row_id", *FEATURES, "has_history")
 
 

@@ -95,9 +95,11 @@ class _Batch:
         rows = batch.select(*LIVE_COLUMNS, "row_kind").withColumns({
             "at_us": micros(c("ts")), "who": _mark(c("user_id")), "rid": F.monotonically_increasing_id()})
         rows = written(rows, "live-rows")
-        # a row weighs where it happens and where it leaves the burst window
+        # a batch that a task may hold needs no cuts; a row weighs where it happens and where it leaves the burst window
+        self.cuts = None
         weights = rows.select("who", c("at_us").alias("at")).union(rows.select("who", c("at_us") + self.risk.burst_us))
-        self.cuts = written(even_cuts(weights, "who", "at", params.slot_rows, params.max_heavy_share), "live-cuts")
+        if rows.count() > params.slot_rows:
+            self.cuts = written(even_cuts(weights, "who", "at", params.slot_rows, params.max_heavy_share), "live-cuts")
         rows = slotted(rows, self.cuts, "who", "at_us", "slot").withColumn("slot", F.coalesce("slot", F.lit(-1)))
         past = store.read(before=batch_id).join(rows.select("who").distinct(), "who", "left_semi")
         newest = past.groupBy("who").agg(F.max("life").alias("_life"))
@@ -114,6 +116,9 @@ class _Batch:
     def _slotted(self, items: DataFrame) -> DataFrame:
         return slotted(items, self.cuts, "who", "at")
 
+    def _before(self, rows: DataFrame, keys: list[str], at: str, sums=None, maxima=None) -> DataFrame:
+        return running_before(rows, keys, at, sums, maxima, cut=self.cuts is not None)
+
     def _lives(self, rows: DataFrame) -> DataFrame:
         """Adds ``life``, the time at which the profile that a row meets began; 0 if profiles never end."""
         if self.params.expire_us is None:
@@ -121,10 +126,10 @@ class _Batch:
         c = F.col
         timed = rows.where("state in ('new', 'told')")
         items = timed.select("rid", "who", c("at_us").alias("at"), F.when(c("state") == "new", c("at_us")).alias("login_us"), "old_life", "old_us")
-        before = running_before(self._slotted(items), ["who"], "at", maxima={"prior_us": c("login_us")})
+        before = self._before(self._slotted(items), ["who"], "at", maxima={"prior_us": c("login_us")})
         prior = F.greatest("prior_us", "old_us")
         opens = F.when(c("login_us").isNotNull() & (prior.isNull() | (c("at") - prior > self.params.expire_us)), c("at"))
-        opened = running_before(before.withColumn("opens", opens), ["who"], "at", maxima={"opened": c("opens")})
+        opened = self._before(before.withColumn("opens", opens), ["who"], "at", maxima={"opened": c("opens")})
         lives = opened.select(c("rid").alias("_rid"), F.greatest("opens", "opened", "old_life").alias("life"))
         joined = rows.join(lives, c("rid") == c("_rid"), "left").drop("_rid")
         return joined.withColumn("life", F.coalesce("life", "old_life"))
@@ -149,9 +154,9 @@ class _Batch:
         days = days.unionByName(self._recent().select("who", "life", (-c("n")).alias("n"), day(c("at")).alias("day")))
         days = days.withColumns(nothing | {"at": F.lit(_EVER), "alive": zero})
         items = self._slotted(arrivals.unionByName(leaving).unionByName(days))
-        told = running_before(items, ["who", "life"], "at", {"_in_burst": c("alive")}, {"_last_failure": c("failed_us")})
+        told = self._before(items, ["who", "life"], "at", {"_in_burst": c("alive")}, {"_last_failure": c("failed_us")})
         # rows that leave the window belong to no day
-        told = running_before(told.where("day is not null"), ["who", "life", "day"], "at", {"_today_before": c("n")})
+        told = self._before(told.where("day is not null"), ["who", "life", "day"], "at", {"_today_before": c("n")})
         return told.where("rid is not null").select(
             "rid", "_last_failure", F.coalesce("_in_burst", zero).alias("_in_burst"), F.coalesce("_today_before", zero).alias("_today_before"))
 
@@ -171,8 +176,8 @@ class _Batch:
         hours = self.past.where("kind = 'hour'").select(
             none.alias("rid"), "who", "life", F.lit(_EVER).alias("at"), zero.alias("known"), c("known").alias("in_hour"), c("value").cast("bigint").alias("hour"))
         items = self._slotted(reduce(DataFrame.unionByName, [own, recent, less, total, hours]))
-        told = running_before(items, ["who", "life"], "at", {"_prior": c("known")})
-        told = running_before(told, ["who", "life", "hour"], "at", {"_hour_before": c("in_hour")})
+        told = self._before(items, ["who", "life"], "at", {"_prior": c("known")})
+        told = self._before(told, ["who", "life", "hour"], "at", {"_hour_before": c("in_hour")})
         return told.where("rid is not null").select(
             "rid", F.coalesce("_prior", zero).alias("_prior"), F.coalesce("_hour_before", zero).alias("_hour_before"))
 
@@ -222,7 +227,8 @@ class _Batch:
         scores = scoring.score_events(features, self.risk)
         if self.params.model is None:
             return scores
-        with_model = models.with_model_score(self.params.model, scores)
+        # the rules' expressions would be repeated inside the model's and grow beyond what a method holds
+        with_model = models.with_model_score(self.params.model, written(scores, "live-rules"))
         return scoring.combine(with_model, self.params.model_points, params=self.risk)
 
     def _accepted(self, scores: DataFrame) -> DataFrame:
@@ -237,7 +243,7 @@ class _Batch:
         alone = written(self.scored(self.facts(everyone.where("false"))), "live-alone")
         sure = self.new.join(self._accepted(alone), "rid").join(alone.select(F.col("row_key").alias("rid"), "has_history"), "rid")
         items = slotted(sure.withColumn("at", F.col("at_us")), self.cuts, "who", "at")
-        first = running_before(items, ["who", "life"], "at", maxima={"earlier": F.when(~F.col("has_history"), 1)})
+        first = self._before(items, ["who", "life"], "at", maxima={"earlier": F.when(~F.col("has_history"), 1)})
         learned = written(first.where("has_history or earlier is null").select("rid"), "live-learned")
         while True:
             now = written(self._accepted(self.scored(self.facts(learned))), "live-learned")
