@@ -10,8 +10,9 @@ The windows of a block of items are broadcast; a block has at most ``BLOCK_WINDO
 benchmarks take several blocks, one after the other, over all documents.
 
 Defined results: NULL and wordless texts and items have no words and hit nothing; an item without id
-counts under the empty id; repeated items count once by id; repeated documents get equal results; a
-document column that clashes with a result column is replaced by it.
+counts under the empty id; repeated items count once by id; repeated documents get equal results. Where
+contaminated rows are dropped, the others keep all their columns, whatever their names; where hits are
+returned, a document column by the name of a result column is left out for it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gatewise.llm import textbytes as tb
+from gatewise.llm.columns import set_aside
 from gatewise.session import written
 
 WINDOW = 13
@@ -190,7 +192,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_windows: int
     names = [c for c in docs.columns if c not in ("n_words", "hits", "items")]
     table = written(windows(benchmark), "windows")
     blocks = max(1, math.ceil(table.count() / block_windows))
-    result = docs.select(*names)
+    result, back = set_aside(docs.select(*names), "text")
     for k in range(blocks):
         # The hash spreads windows evenly; a block is collected because it is then broadcast.
         block = table.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toPandas()
@@ -203,10 +205,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_windows: int
             for place, n in seen.groupBy("place").agg(F.sum("n")).collect():  # at most one row per known shingle
                 counts[place] = n
         shared = spark.sparkContext.broadcast(_Index(block, known, counts))
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.select(*back).schema)
         found = result.mapInArrow(_probe(shared, k > 0), f"{kind}, _words long, _hits array<struct<start:long,end:long>>, _items array<string>")
         result = written(found, "hits") if blocks > 1 else found
-    return result.select(*names, F.col("_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
+    return result.select(*[F.col(new).alias(old) for new, old in back.items()], F.col("_words").alias("n_words"), F.col("_hits").alias("hits"), F.col("_items").alias("items"))
 
 
 def judge(found: DataFrame) -> DataFrame:
@@ -224,4 +226,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    return judge(find_contamination(docs, benchmark)).where(~F.col("contaminated")).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, all columns unchanged, whatever their names."""
+    plain, names = set_aside(docs, "text")
+    kept = judge(find_contamination(plain, benchmark)).where(~F.col("contaminated"))
+    return kept.select(*[F.col(new).alias(old) for new, old in names.items()])

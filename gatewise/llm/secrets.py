@@ -6,17 +6,20 @@ scans only blobs that have no row for the current rules, appends them, and joins
 all paths that ever held the blob. Copies are pre-aggregated to one content each before the shuffle.
 
 Defined results: NULL content counts as empty; an empty text has no findings; repeated rows each get
-the findings of their content; an empty table gives an empty result; other columns are ignored.
+the findings of their content; an empty table gives an empty result; other columns are ignored by reports and pass
+:func:`redact` unchanged, whatever their names. Rows that two runs at once appended for one blob count once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gatewise.llm.columns import unused_name
 from gatewise.session import scratch_dir
 
 # The kinds in their order and the patterns the findings are defined by.
@@ -27,7 +30,8 @@ HEX = r"[0-9a-f]+"
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-RULES_VERSION = "1"
+#: Changes with the rules, so that an edited pattern is looked for in every blob again.
+RULES_VERSION = hashlib.sha256(repr((KINDS, ASSIGN, ACCESS, HEX, MIN_ASSIGN, MIN_ACCESS, MIN_HEX)).encode()).hexdigest()[:16]
 
 FINDING = "struct<kind:string,start:int,end:int>"
 _ASSIGN = re.compile(ASSIGN, re.ASCII)
@@ -81,6 +85,11 @@ def update_ledger(history: DataFrame, ledger: str, content: str = "text", versio
     return spark.read.schema(schema).parquet(ledger).where(F.col("_version") == version)
 
 
+def _findings(rows: DataFrame) -> DataFrame:
+    """One row per blob that holds something, however often it stands in the ledger."""
+    return rows.where(F.size("_found") > 0).groupBy("_blob").agg(F.first("_found").alias("_found"))
+
+
 def scan_history(
     history: DataFrame, keys: Sequence[str], content: str = "text", ledger: str | None = None,
     version: str = RULES_VERSION,
@@ -89,7 +98,7 @@ def scan_history(
     ledger = ledger or scratch_dir(history.sparkSession, "ledger")
     rows = update_ledger(history, ledger, content, version)
     paths = history.select(*keys, blob_id(content).alias("_blob"))
-    found = rows.where(F.size("_found") > 0).select("_blob", F.col("_found").alias("findings"))
+    found = _findings(rows).select("_blob", F.col("_found").alias("findings"))
     empty = F.array().cast(f"array<{FINDING}>")
     return paths.join(found, "_blob", "left").select(*keys, F.coalesce("findings", empty).alias("findings"))
 
@@ -101,21 +110,22 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", ledger: str | None = None)
     """
     ledger = ledger or scratch_dir(docs.sparkSession, "ledger")
     rows = update_ledger(docs, ledger)
-    found = rows.where(F.size("_found") > 0).select("_blob", "_found")
-    joined = docs.withColumn("_blob", blob_id("text")).join(found, "_blob", "left")
+    blob, spans, at = (unused_name(docs, n) for n in ("_blob", "_found", "_at"))
+    found = _findings(rows).select(F.col("_blob").alias(blob), F.col("_found").alias(spans))
+    joined = docs.withColumn(blob, blob_id("text")).join(found, blob, "left")
     # Overlapping spans of different kinds are one: walk them by start and keep the furthest end.
     walked = F.aggregate(
-        "_found",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s.at, x.end).alias("at"),
             F.when(x.start >= s.at, F.concat(s.out, F.substring("text", s.at + 1, x.start - s.at), F.lit(mark))).otherwise(s.out).alias("out"),
         ),
     )
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.concat(walked.out, F.expr("substring(text, walked_at + 1)")))
-    joined = joined.withColumn("walked_at", F.when(F.col("_found").isNotNull(), walked.at))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(walked.out, F.expr(f"substring(text, `{at}` + 1)")))
+    joined = joined.withColumn(at, F.when(F.col(spans).isNotNull(), walked.at))
     cleaned = joined.withColumn("text", text)
-    columns = [F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cleaned.select(*columns)
 
 

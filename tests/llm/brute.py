@@ -49,11 +49,11 @@ def repeats(docs: list[tuple], length: int = 100) -> dict:
     return out
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, width: int = 3) -> frozenset:
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[k:k + 3]) for k in range(len(words) - 2)) or frozenset([tuple(words)])
+    return frozenset(tuple(words[k:k + width]) for k in range(len(words) - width + 1)) or frozenset([tuple(words)])
 
 
 def components(nodes, edges) -> dict:
@@ -71,12 +71,12 @@ def components(nodes, edges) -> dict:
     return {n: find(n) for n in nodes}
 
 
-def jaccard(docs: list[tuple]) -> list[tuple]:
-    sets = [(d, shingles(t)) for d, t in docs]
+def jaccard(docs: list[tuple], width: int = 3, percent: int = 90) -> list[tuple]:
+    sets = [(d, shingles(t, width)) for d, t in docs]
     edges = []
     for k, (a, x) in enumerate(sets):
         for b, y in sets[:k]:
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 edges.append((a, b))
     comp = components([d for d, _ in sets], edges)
     return [(d, len(s), comp[d]) for d, s in sets]
