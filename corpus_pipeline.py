@@ -7,7 +7,9 @@ executor repeats a stage's tasks, not the pipeline.
 
 What leaves: documents scored below the quality threshold (wordless ones score as the share of good labels), all but the least id of each
 near-copy group, contaminated documents. Secrets are replaced in the text, and ``n_chars`` recounted.
-NULL texts, empty tables and further columns pass through every stage.
+NULL texts, empty tables and further columns pass through every stage, whatever the columns' names. Texts are
+looked at whole, however long; rows repeated under one id stay or go together; of equally near copies the
+least id stays.
 """
 
 from __future__ import annotations
@@ -28,8 +30,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = jaccard.WIDTH, percent: int = jaccard.PERCENT) -> DataFrame:
-    """Near copies are as in op7, three words and 90 %, unless other limits are given."""
+#: Near copies agree in this share, in percent, of their shingles of so many words.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str, width: int = NEAR_WIDTH, percent: int = NEAR_PERCENT) -> DataFrame:
+    """The least id of each group of near copies."""
     prepare(spark)
     return jaccard.keep_one(docs, width, percent)
 
