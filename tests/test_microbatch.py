@@ -17,10 +17,14 @@ from gatewise.streaming.store import KeyedStore
 
 @pytest.fixture(autouse=True, scope="module")
 def interpreted(spark):
-    """Rows are few and plans large, so compiling them would take most of the time."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    """Rows are few and plans large, so compiling and dealing them out would take most of the time."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     yield
-    spark.conf.unset("spark.sql.codegen.wholeStage")
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 START = dt.datetime(2024, 1, 1, 10)
