@@ -3,13 +3,15 @@
 Everything except the confusion matrix works on (score -> positives, negatives).
 Rule scores have at most 155 values; model scores are rounded to four digits
 first, so the histogram stays below about 10,001 rows per model and the ordered
-windows over it never see the events.
+windows over it never see the events. For scores that are not rounded the histogram grows with the
+events; ``spread`` then takes running totals over ranges of scores, so no task sees all of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gatewise.operators.ordered import running_totals
 from gatewise.session import cut_lineage
 
 
@@ -50,9 +52,30 @@ def _everything(by):
     return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
 
 
-def threshold_curve(hist: DataFrame, *by: str) -> DataFrame:
+def _spread_curve(hist: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Counts at every score and in all, with no window over all scores."""
+    c = F.col
+    run = running_totals(hist, by, [F.desc("score")], {"tp": "pos", "fp": "neg"})
+    totals = (F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    if by:  # a row per model
+        every = hist.groupBy(*by).agg(*totals)
+        every = every.withColumnsRenamed({b: f"_by_{b}" for b in by})
+        same = F.lit(True)
+        for b in by:
+            same &= c(b).eqNullSafe(c(f"_by_{b}"))
+        run = run.join(F.broadcast(every), same)
+    else:
+        run = run.withColumns({n: hist.agg(t).scalar() for n, t in zip(("_pos", "_neg"), totals)})
+    return run.select(*by, c("score").alias("threshold"), "tp", "fp", "_pos", "_neg")
+
+
+def threshold_curve(hist: DataFrame, *by: str, spread: bool = False) -> DataFrame:
     """One row per distinct score, flagging everything at or above it."""
     c = F.col
+    if spread:
+        counts = _spread_curve(hist, by)
+        full = counts.withColumn("fn", c("_pos") - c("tp")).withColumn("tn", c("_neg") - c("fp"))
+        return _rates(full.drop("_pos", "_neg"))
     down = _everything(by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     every = _everything(by)
     counts = hist.select(
@@ -81,15 +104,15 @@ def best_under_budget(curve: DataFrame, budget: float = 0.05, *by: str) -> DataF
     return picked.select(*by, *[c(f"best.{n}").alias(n) for n in names])
 
 
-def roc_auc(hist: DataFrame, *by: str) -> DataFrame:
+def roc_auc(hist: DataFrame, *by: str, spread: bool = False) -> DataFrame:
     """Share of (positive, negative) pairs ranked right, ties half (Mann-Whitney)."""
     c = F.col
-    below = _everything(by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    rows = hist.select(
-        *by,
-        c("pos").cast("double").alias("pos"), c("neg").cast("double").alias("neg"),
-        F.coalesce(F.sum("neg").over(below), F.lit(0)).cast("double").alias("lower"),
-    )
+    if spread:
+        ranked = running_totals(hist, by, [F.asc("score")], {"lower": "neg"}, own=False)
+    else:
+        below = _everything(by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+        ranked = hist.withColumn("lower", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    rows = ranked.select(*by, *[c(n).cast("double").alias(n) for n in ("pos", "neg", "lower")])
     sums = [
         F.sum(c("pos") * (c("lower") + 0.5 * c("neg"))).alias("won"),
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
@@ -98,14 +121,14 @@ def roc_auc(hist: DataFrame, *by: str) -> DataFrame:
     return agg.select(*by, F.try_divide(c("won"), c("pos") * c("neg")).alias("auc"))
 
 
-def replay(hist: DataFrame, rates: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2), *by: str) -> DataFrame:
+def replay(hist: DataFrame, rates: tuple[float, ...] = (0.01, 0.05, 0.1, 0.2), *by: str, spread: bool = False) -> DataFrame:
     """Re-check the top share of events by score: attacks caught, normal events bothered.
 
     ``rate`` is the wanted share. The cut is the highest score that reaches it and
     takes all ties, so ``challenged_share`` may exceed the rate.
     """
     c = F.col
-    curve = threshold_curve(hist, *by).withColumn("n", c("tp") + c("fp"))
+    curve = threshold_curve(hist, *by, spread=spread).withColumn("n", c("tp") + c("fp"))
     total = c("tp") + c("fp") + c("fn") + c("tn")
     rated = curve.withColumn("rate", F.explode(F.array(*[F.lit(r) for r in rates])))
     reaching = rated.where(c("n") >= c("rate") * total)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gatewise.functions.risk import FEATURES, KINDS, RULES, RiskParams
 from gatewise.functions import text
-from gatewise.operators import audit, checks, contract, evaluate, features, models, sampling, scoring
+from gatewise.operators import audit, checks, contract, evaluate, features, models, sampling, scoring, slots
 from gatewise.operators.clean import clean, observed_clean
 from gatewise.operators.features import FeatureParams
 from gatewise.operators.sampling import SampleSpec
@@ -762,6 +762,46 @@ cutoff as (select rate, max(threshold) as threshold from curve, r
  where tp + fp >= rate * (tp + fp + fn + tn) group by rate)"""
 
 
+# Microseconds since the user's last login: a score with almost as many values as rows.
+_SILENCE = f"""{sql.clean()},
+silent as (select is_attack_ip and login_success as is_gold, cast(coalesce(epoch_us(ts) - max(epoch_us(ts)) over
+   (partition by user_id order by epoch_us(ts) range between unbounded preceding and 1 preceding), 0) as double) as score from clean),
+hist as (select score, count(*) filter (where is_gold) as pos, count(*) filter (where not is_gold) as neg from silent group by score),
+run as (select score as threshold, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp,
+   sum(pos) over () - tp as fn, sum(neg) over () - fp as tn from hist),
+curve0 as (select threshold, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, cast(tn as bigint) as tn from run),
+curve as (select *, {sql.rates()} from curve0)"""
+
+
+def _silence_hist(spark, sf):
+    events = cleaned(spark, sf).select("user_id", "ts", "is_attack_ip", "login_success").withColumn("at", text.micros(F.col("ts")))
+    events = written(events, "times")
+    parts = slots.slotted(events, slots.even_cuts(events, "user_id", "at", PARAMS.slot_rows), "user_id", "at")
+    timed = slots.running_before(parts, ["user_id"], "at", maxima={"last": F.col("at")})
+    score = F.coalesce(F.col("at") - F.col("last"), F.lit(0)).cast("double")
+    return written(evaluate.score_histogram(scoring.with_gold(timed.withColumn("score", score)), _gold()), "hist")
+
+
+@query("curve_of_silence", sql.with_(_SILENCE, "select * from curve"))
+def _(spark, sf):
+    return evaluate.threshold_curve(_silence_hist(spark, sf), spread=True)
+
+
+@query("auc_of_silence", sql.with_(_SILENCE, """
+select sum(pos * (coalesce(lower, 0) + 0.5 * neg)) / (cast(sum(pos) as double) * sum(neg)) as auc from
+ (select *, sum(neg) over (order by score rows between unbounded preceding and 1 preceding) as lower from hist)"""))
+def _(spark, sf):
+    return evaluate.roc_auc(_silence_hist(spark, sf), spread=True)
+
+
+@query("replay_of_silence", sql.with_(f"{_SILENCE}, {_REPLAY}", """
+select rate, threshold, tp + fp as challenged, cast(tp + fp as double) / (tp + fp + fn + tn) as challenged_share,
+ cast(tp as double) / nullif(tp + fn, 0) as caught_share, cast(fp as double) / nullif(fp + tn, 0) as bothered_share
+from cutoff join curve using (threshold)"""))
+def _(spark, sf):
+    return evaluate.replay(_silence_hist(spark, sf), _RATES, spread=True)
+
+
 @query("replay", sql.with_(f"{sql.scores()}, {sql.curve()}, {_REPLAY}", """
 select rate, threshold, tp + fp as challenged, cast(tp + fp as double) / (tp + fp + fn + tn) as challenged_share,
  cast(tp as double) / nullif(tp + fn, 0) as caught_share, cast(fp as double) / nullif(fp + tn, 0) as bothered_share
