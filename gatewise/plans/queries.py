@@ -1323,8 +1323,8 @@ def _stamp(pattern: str):
     return F.date_format("ts", pattern)
 
 
-def _log_lines(events: DataFrame, source: str) -> DataFrame:
-    """Log records of one system for every clean event, in that system's format."""
+def _log_lines(events: DataFrame, source: str, broken: bool = False) -> DataFrame:
+    """Log records of one system for every clean event, in that system's format; ``broken``: some blank, some cut off."""
     c = F.col
     user = F.concat(F.lit("user"), c("user_id").cast("string"))
     iso = F.concat(_stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
@@ -1360,7 +1360,10 @@ def _log_lines(events: DataFrame, source: str) -> DataFrame:
             ",", _stamp("yyyyMMdd HH:mm:ss"), F.lit("db1"), user, c("ip"), c("row_id").cast("string"), F.lit("0"),
             F.when(ok, "CONNECT").otherwise("FAILED_CONNECT"), F.lit("app"), F.lit(""), F.when(ok, "0").otherwise("1045")),
     }
-    return events.select(lines[source]().alias("value"))
+    line = lines[source]()
+    if broken:
+        line = F.when(c("row_id") % 41 == 0, "").when(c("row_id") % 37 == 0, F.substring(line, 1, 10)).otherwise(line)
+    return events.select(line.alias("value"))
 
 
 _READERS = {
@@ -1400,6 +1403,25 @@ for _name in _READERS:
     _source_query(_name)
 
 
+# What a record cut off after ten characters is rejected for.
+_CUT_OFF = {"ssh": "not of sshd", "vpn": "no action", "database": "too few fields"}
+
+
+@query("normalize_rejects", sql.with_(f"""{sql.clean()},
+kinds(auth_source, cut_off) as (values {", ".join(f"('{_READERS[n][1]}', '{_CUT_OFF.get(n, 'not JSON')}')" for n in _READERS)})""", """
+select auth_source, case when row_id % 41 = 0 then 'blank' when row_id % 37 = 0 then cut_off else 'login' end as reason,
+ count(*) as records, count(*) filter (where row_id % 41 <> 0 and row_id % 37 <> 0) as read from clean, kinds group by 1, 2"""))
+def _(spark, sf):
+    """Every record is a login or a reject with a reason; ``read`` is what the reader made of those records."""
+    events, parts = cleaned(spark, sf), []
+    for name, (reader, label, *_) in _READERS.items():
+        lines = _log_lines(events, name, broken=True)
+        logins = reader(lines).agg(F.count(F.lit(1))).scalar()
+        counts = normalize.reject_counts(lines, label)
+        parts.append(counts.withColumn("read", F.when(F.col("reason") == "login", logins).otherwise(F.lit(0).cast("bigint"))))
+    return normalize.union_sources(*parts)
+
+
 @query("normalize_all", sql.with_(_SRC, f"""
 select auth_source, count(*) as events, count(distinct user_id) as users, count(*) filter (where success) as successes,
  min(ts) as first_ts from ({' union all '.join(_source_sql(n) for n in _READERS)}) group by auth_source"""))

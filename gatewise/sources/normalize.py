@@ -2,7 +2,7 @@
 
 Every reader takes a DataFrame with one text column ``value`` (one log record per
 row, as ``spark.read.text`` gives it) and stays in built-in functions. Records that
-are not logins give no row.
+are not logins give no row; :func:`rejects` tells which and why, so records in are logins plus rejects.
 """
 
 from __future__ import annotations
@@ -76,13 +76,16 @@ def directory_logins(lines: DataFrame) -> DataFrame:
     )
 
 
+def _pair(key: str) -> Column:
+    """The value of a ``key=value`` line, quoted or not."""
+    quoted = F.regexp_extract(_V, rf'(?:^| ){key}="([^"]*)"', 1)
+    bare = F.regexp_extract(_V, rf'(?:^| ){key}=([^" ]+)', 1)
+    return F.nullif(F.concat(quoted, bare), F.lit(""))
+
+
 def vpn_logins(lines: DataFrame) -> DataFrame:
     """``key=value`` lines of a VPN gateway; values may be quoted."""
-    def field(key: str) -> Column:
-        quoted = F.regexp_extract(_V, rf'(?:^| ){key}="([^"]*)"', 1)
-        bare = F.regexp_extract(_V, rf'(?:^| ){key}=([^" ]+)', 1)
-        return F.nullif(F.concat(quoted, bare), F.lit(""))
-
+    field = _pair
     rows = lines.where(field("action").isin("tunnel-up", "ssl-login-fail"))
     return _normalized(
         rows, "vpn", user_id=field("user"), source_ip=field("remip"), country=field("srccountry"),
@@ -141,3 +144,37 @@ def database_logins(lines: DataFrame) -> DataFrame:
 def union_sources(*parts: DataFrame) -> DataFrame:
     """All sources as one table of normalised events."""
     return reduce(DataFrame.unionByName, parts)
+
+
+def _json_reason(needed: str, missing: str, wanted: tuple[str, ...] | None = None) -> Column:
+    """Why a JSON record is no login: not JSON, without the field that makes it one, or about something else."""
+    value = F.get_json_object(_V, f"$.{needed}")
+    broken = F.when(F.get_json_object(_V, "$").isNull(), "not JSON").when(value.isNull(), missing)
+    return broken if wanted is None else broken.when(~value.isin(*wanted), "another event")
+
+
+def _reason(source: str) -> Column:
+    """NULL for a login record of ``source``."""
+    fields = F.split(_V, ",")
+    of = {
+        "web": lambda: _json_reason("user", "no user"),
+        "ssh": lambda: F.when(~F.col(_V).rlike(r" sshd(\[\d+\])?: "), "not of sshd").when(~F.col(_V).rlike(_SSH), "another message"),
+        "active_directory": lambda: _json_reason("EventID", "no event", ("4624", "4625")),
+        "vpn": lambda: F.when(_pair("action").isNull(), "no action").when(~_pair("action").isin("tunnel-up", "ssl-login-fail"), "another action"),
+        "cloud_console": lambda: _json_reason("eventName", "no event", ("ConsoleLogin",)),
+        "sign_in": lambda: _json_reason("userPrincipalName", "no user"),
+        "database": lambda: F.when(F.size(fields) < 10, "too few fields").when(~F.get(fields, F.lit(6)).isin("CONNECT", "FAILED_CONNECT"), "another operation"),
+    }[source]()
+    return F.when(F.trim(F.coalesce(F.col(_V), F.lit(""))) == "", "blank").otherwise(of)
+
+
+def rejects(lines: DataFrame, source: str) -> DataFrame:
+    """Records of ``source`` (an ``auth_source``) that its reader gives no login for, with the reason."""
+    told = lines.select(F.lit(source).alias("auth_source"), _V, _reason(source).alias("reason"))
+    return told.where("reason is not null")
+
+
+def reject_counts(lines: DataFrame, source: str) -> DataFrame:
+    """Records per reason; logins under ``login``. The counts add up to the records read."""
+    return lines.groupBy(F.coalesce(_reason(source), F.lit("login")).alias("reason")).agg(F.count(F.lit(1)).alias("records")).select(
+        F.lit(source).alias("auth_source"), "reason", "records")

@@ -211,3 +211,28 @@ def test_logistic_expression_equals_the_fitted_model(spark):
     got = {r.row_id: r.score for r in models.score_supervised(models.fit_logistic(df), df).collect()}
     for r in row:
         assert got[r.row_id] == pytest.approx(want.predictProbability(r._vector)[1], abs=1e-4)
+
+
+def test_every_log_record_is_a_login_or_a_reject(spark):
+    from gatewise.sources import normalize
+
+    lines = {
+        "web": ['{"user": "u", "time": "x"}', '{"time": "2024-01-01T00:00:00Z"}', "{", "", None, "[1]", '{"user": null}'],
+        "ssh": ["Jan  1 10:00:00 h sshd[1]: Accepted password for u from 1.1.1.1 port 1 ssh2", "Jan  1 10:00:00 h sshd[1]: Connection closed", "cron: x", " "],
+        "active_directory": ['{"EventID": 4624}', '{"EventID": 4634}', '{"x": 1}', "4624"],
+        "vpn": ["action=tunnel-up user=u", "action=tunnel-down", "user=u", "\t"],
+        "cloud_console": ['{"eventName": "ConsoleLogin"}', '{"eventName": "GetObject"}', "{}", "no"],
+        "sign_in": ['{"userPrincipalName": "u"}', '{"status": {"errorCode": 0}}', '{"userPrincipalName"'],
+        "database": ["20240101 10:00:00,s,u,c,1,2,CONNECT,d,,0", "20240101 10:00:00,s,u,c,1,2,QUERY,d,,0", "a,b", ""],
+    }
+    readers = {
+        "web": normalize.web_logins, "ssh": lambda v: normalize.ssh_logins(v, 2024), "active_directory": normalize.directory_logins,
+        "vpn": normalize.vpn_logins, "cloud_console": normalize.cloud_console_logins, "sign_in": normalize.signin_logins, "database": normalize.database_logins,
+    }
+    for source, records in lines.items():
+        table = spark.createDataFrame([(r,) for r in records], "value string")
+        assert readers[source](table).count() == 1, source
+        found = normalize.rejects(table, source).collect()
+        assert len(found) == len(records) - 1 and all(r.reason for r in found), source
+        counts = {r.reason: r.records for r in normalize.reject_counts(table, source).collect()}
+        assert counts["login"] == 1 and sum(counts.values()) == len(records)
