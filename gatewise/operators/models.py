@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.functions.risk import FEATURES
 from gatewise.functions.text import seeded_hash
-from gatewise.session import cut_lineage, written
+from gatewise.session import written
 
 _DIGITS = 4
 
@@ -250,7 +250,7 @@ def _standardised(features: DataFrame, probes: DataFrame | None = None) -> tuple
     if probes is not None:
         base = base.unionByName(numeric(probes).select(*FEATURES, F.lit(0.0).alias("w")))
     base = base.groupBy(*FEATURES).agg(F.sum("w").alias("w"))
-    base = cut_lineage(base)
+    base = written(base, "vectors")
     mass = base.agg(F.sum("w").alias("n"), *[
         e for f in FEATURES for e in (
             F.sum(F.col(f) * F.col("w")).alias(f"s_{f}"), F.sum(F.col(f) * F.col(f) * F.col("w")).alias(f"q_{f}")
@@ -386,7 +386,7 @@ def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4,
     """Rows with ``score``: local outlier factor from approximate near neighbours.
 
     Neighbour search runs on distinct vectors; a vector's copies count as neighbours
-    at distance 0. Rows get the factor of their vector.
+    at distance 0. Rows get the factor of their vector, NULL where it has no neighbours.
     """
     c = F.col
     vectors, zs = _standardised(features)
@@ -402,7 +402,7 @@ def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4,
     keep = [n for n in features.columns if n not in FEATURES]
     rows = numeric(features).withColumn("vid", F.xxhash64(*FEATURES))
     joined = rows.join(factor, "vid", "left")
-    return joined.select(*keep, F.round(F.coalesce("lof", F.lit(1.0)), _DIGITS).alias("score"))
+    return joined.select(*keep, F.round("lof", _DIGITS).alias("score"))
 
 
 # ---------------------------------------------------------------- elliptic envelope
