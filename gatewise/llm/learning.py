@@ -7,9 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 FOLDS = 5
-#: Bounds of a training sample: rows per class, and the longest text taken, in characters.
+#: Bound of a training sample: rows per class. Their texts are taken whole.
 SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 20_000
 
 
 def held_out(doc_id="doc_id"):
@@ -17,20 +16,20 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
     """At most ``rows`` texts of each class outside the held-out fold, with ``y``.
 
     The ids are drawn by hash, so the sample is the same on every run. Only its ids and texts, bounded by
-    the two parameters, come to the driver. Longer texts are not learned from; they are scored whole.
+    the parameter, come to the driver; texts are whole.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     drawn = None
     for y in (0, 1):
-        # One and a half times as many, since some texts may be missing or too long.
+        # One and a half times as many, since some texts may be missing.
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows + rows // 2)
         drawn = part if drawn is None else drawn.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(drawn), "doc_id").toPandas()
     found = found.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     return found.groupby("y", group_keys=False).head(rows).reset_index(drop=True)
