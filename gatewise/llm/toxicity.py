@@ -40,6 +40,8 @@ SPANS = (4, 8)
 LANDMARKS, HARD = 256, 4
 ROUNDS, STEPS, DECAY = 4, 40, 1e-4
 THRESHOLD = 0.5
+#: Spans whose features are worked out at a time in training.
+BLOCK = 256
 #: Spans of toxic documents are taken for toxic above the value that this share of clean sentences reaches.
 CLEAN_SHARE = 0.002
 #: Weight of all clean spans in training; the toxic ones, and those with insertions, have weight 1 each.
@@ -175,10 +177,10 @@ def phi(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def features(spans: np.ndarray, codes: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Kernel values against landmarks, given as a (codes x landmarks) table; by blocks of spans."""
+    """Products of spans with the columns of a table by code, such as landmarks; by blocks of spans."""
     out = np.zeros((len(spans), columns.shape[1]), np.float32)
-    for lo in range(0, len(spans), 2048):
-        row, code, value = phi(spans[lo:lo + 2048])
+    for lo in range(0, len(spans), BLOCK):
+        row, code, value = phi(spans[lo:lo + BLOCK])
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         live = np.flatnonzero(codes[at] == code)
         order = live[np.argsort(row[live], kind="stable")]
@@ -219,15 +221,20 @@ class KernelModel:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared hinge loss by Newton steps over the rows inside the margin."""
-    x = np.c_[x, np.ones(len(x), x.dtype)]
-    w = np.zeros(x.shape[1])
-    ridge = np.r_[np.full(x.shape[1] - 1, DECAY), 1e-9]
+    """Squared hinge loss by Newton steps over the rows inside the margin; sums run over blocks of rows."""
+    size = x.shape[1] + 1
+    w = np.zeros(size)
+    ridge = np.diag(np.r_[np.full(size - 1, DECAY), 1e-9])
     inside = np.ones(len(x), bool)
     for _ in range(STEPS):
-        xi, wi = x[inside], weight[inside]
-        w = np.linalg.solve((xi * wi[:, None]).T @ xi + np.diag(ridge), xi.T @ (wi * y[inside]))
-        now = y * (x @ w) < 1
+        left, right = ridge.copy(), np.zeros(size)
+        for lo in range(0, len(x), 16 * BLOCK):
+            own = np.flatnonzero(inside[lo:lo + 16 * BLOCK]) + lo
+            xi = np.c_[x[own], np.ones(len(own))]
+            left += (xi * weight[own, None]).T @ xi
+            right += xi.T @ (weight[own] * y[own])
+        w = np.linalg.solve(left, right)
+        now = y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1
         if (now == inside).all() or not now.any():
             break
         inside = now
@@ -254,9 +261,11 @@ def _odds(data: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> np.ndarray:
         toxic = y[np.minimum(lo + s.row, hi - 1)] == 1
         around.append(tb.mix(window) & ~np.uint64(1) | toxic.astype(np.uint64))
     size = [len(w) for w in around]
-    _, first = np.unique(np.concatenate(around), return_index=True)
-    fresh = np.zeros(sum(size), bool)
-    fresh[first] = True
+    every, fresh = np.concatenate(around), np.zeros(sum(size), bool)
+    for k in range(16):  # a sixteenth at a time
+        own = np.flatnonzero(every >> np.uint64(60) == k)
+        fresh[own[np.unique(every[own], return_index=True)[1]]] = True
+    del every
     held, begin = [np.ones(CODES), np.ones(CODES)], 0
     for (_, _, s), own in zip(_parts(data, offsets), around):
         new = fresh[begin:begin + len(own)]
@@ -328,7 +337,7 @@ def fit(texts: list[str], y: np.ndarray, landmarks: int = LANDMARKS, rounds: int
         eigen, vectors = np.linalg.eigh(columns.T @ columns)
         good = eigen > 1e-6 * eigen.max()
         root = vectors[:, good] / np.sqrt(eigen[good])  # Nyström: features = kernel values x root
-        x = features(np.r_[positive, more, pool], codes, columns) @ root.astype(np.float32)
+        x = features(np.r_[positive, more, pool], codes, columns @ root)
         label = np.r_[np.ones(len(positive) + len(more)), -np.ones(len(pool))]
         weight = np.concatenate([np.full(n, share / n) for n, share in ((len(positive), 1.0), (len(more), 1.0), (len(pool), CLEAN_SPANS))])
         u, bias = _svm(x, label, weight)
