@@ -12,21 +12,27 @@ direction of some members; its radius is the largest angle of any member to it.
 pivots' angle, plus or minus both radii, is within or beyond the threshold link wholly or not at all; for
 the rest members are compared, block by block.
 
-Defined results: vectors that are NULL, empty, zero, of another length than most or that hold NULL or non-finite
-components link with nothing and are kept; equal vectors link; repeated rows of one id are one vector
+Vectors of different lengths never link: keys hold the length, so each length is hashed by its own projections in
+the same job.
+
+Defined results: vectors that are NULL, empty, zero or that hold NULL or non-finite
+components link with nothing and are kept; equal vectors link, and only those of one length; repeated rows of one id are one vector
 (the least by component order if they differ); rows without id are one row that links with nothing; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from gatewise.llm import textbytes as tb
 from gatewise.llm.components import components
 from gatewise.session import written
 
@@ -61,6 +67,7 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.rint(2 * np.where(nearer[:, None], a, b)).astype(np.int64)
 
 
+@functools.lru_cache(maxsize=16)
 def projections(dim: int, tables: int = TABLES, blocks: int = BLOCKS) -> np.ndarray:
     """(tables, blocks, dim, 8) with orthonormal columns where the dimension allows, scaled to the lattice."""
     rng = np.random.default_rng(SEED)
@@ -118,26 +125,29 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _hashed(dim: int, tables: int, probes: int):
-    """Rows (vec_id, table, key, own) of every vector."""
+def _hashed(tables: int, probes: int):
+    """Rows (vec_id, table, key, own) of every vector; keys of different lengths differ."""
     def task(frames):
-        proj = projections(dim, tables)
         for batch in frames:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                x = _matrix(part.column(1))
-                own, near = keys(x / np.linalg.norm(x, axis=1)[:, None], proj, probes)
-                every = np.concatenate([own[:, :, None], near], 2)
-                n, t, k = every.shape
-                ids = np.repeat(part.column(0).to_numpy(), t * k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), k), n)), pa.array(every.ravel()), pa.array(np.tile(np.arange(k) == 0, n * t))],
-                    ["vec_id", "t", "key", "own"],
-                )
+                lengths = pc.list_value_length(part.column(1)).to_numpy()
+                for dim in np.unique(lengths):
+                    same = part.filter(pa.array(lengths == dim))
+                    x = _matrix(same.column(1))
+                    own, near = keys(x / np.linalg.norm(x, axis=1)[:, None], projections(int(dim), tables), probes)
+                    every = np.concatenate([own[:, :, None], near], 2) ^ tb.mix(dim.astype(np.uint64).reshape(1)).astype(np.int64)
+                    n, t, k = every.shape
+                    ids = np.repeat(same.column(0).to_numpy(), t * k)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), k), n)), pa.array(every.ravel()), pa.array(np.tile(np.arange(k) == 0, n * t))],
+                        ["vec_id", "t", "key", "own"],
+                    )
     return task
 
 
 def _dot(x: str, y: str):
+    """NULL for vectors of different lengths."""
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
@@ -145,9 +155,9 @@ def _cosine(x: str, y: str):
     return F.least(F.lit(1.0), _dot(x, y) / F.sqrt(_dot(x, x) * _dot(y, y)))
 
 
-def tight_groups(vectors: DataFrame, dim: int, turns: int = 4) -> DataFrame:
+def tight_groups(vectors: DataFrame, turns: int = 4) -> DataFrame:
     """vec_id, vector and leader, who has the least id of the group."""
-    hashed = vectors.mapInArrow(_hashed(dim, turns, 0), "vec_id long, t int, key long, own boolean").drop("own")
+    hashed = vectors.mapInArrow(_hashed(turns, 0), "vec_id long, t int, key long, own boolean").drop("own")
     hashed = written(hashed.groupBy("vec_id").pivot("t", list(range(turns))).agg(F.first("key")), "cells")
     now = vectors.join(hashed, "vec_id").withColumn("leader", F.col("vec_id")).withColumn("alone", F.lit(True))
     for turn in range(turns):
@@ -180,9 +190,9 @@ def group_pivots(members: DataFrame) -> DataFrame:
     return out.select("leader", "size", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("pivot", "vector").alias("vector"))
 
 
-def candidate_pairs(vectors: DataFrame, dim: int, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def candidate_pairs(vectors: DataFrame, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """Different pairs (a < b) of which one has a probed key that is the other's own."""
-    hashed = written(vectors.mapInArrow(_hashed(dim, tables, probes), "vec_id long, t int, key long, own boolean"), "keys")
+    hashed = written(vectors.mapInArrow(_hashed(tables, probes), "vec_id long, t int, key long, own boolean"), "keys")
     stored = hashed.where("own").select("t", "key", F.col("vec_id").alias("v"))
     met = hashed.select("t", "key", F.col("vec_id").alias("u")).join(stored, ["t", "key"]).where("u <> v")
     return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
@@ -212,18 +222,14 @@ def near_vectors(embeddings: DataFrame, block: int = 512) -> DataFrame:
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = written(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
     sound = rows.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & F.expr("forall(vector, v -> v is not null and not isnan(v) and abs(v) < double('Infinity'))"))
-    common = sound.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = common["dim"]
     # Scaled by the largest component, so that no square over- or underflows.
     top = F.array_max(F.transform("vector", lambda v: F.abs(v)))
-    sound = sound.where((F.size("vector") == dim) & (top > 0)).withColumn("_top", top)
+    sound = sound.where(top > 0).withColumn("_top", top)
     sound = sound.select("vec_id", F.transform("vector", lambda v: v / F.col("_top")).alias("vector"))
-    members = written(tight_groups(sound, dim), "groups")
+    members = written(tight_groups(sound), "groups")
     leaders = written(group_pivots(members), "leaders")
     groups = leaders.select("leader", "size")
-    pairs = candidate_pairs(leaders.select(F.col("leader").alias("vec_id"), "vector"), dim)
+    pairs = candidate_pairs(leaders.select(F.col("leader").alias("vec_id"), "vector"))
     one = leaders.select([F.col(c).alias(f"a_{c}") for c in leaders.columns])
     two = leaders.select([F.col(c).alias(f"b_{c}") for c in leaders.columns])
     met = pairs.join(one, F.col("a") == F.col("a_leader")).join(two, F.col("b") == F.col("b_leader"))

@@ -1,5 +1,7 @@
 """Near vectors against all pairs, with groups that link wholly, in part and not at all."""
 
+import itertools
+
 import numpy as np
 
 from gatewise.llm import lattice
@@ -50,6 +52,26 @@ def test_near_vectors(spark):
     assert lattice.near_vectors(table.where("false")).count() == 0
 
 
+def test_lengths_apart(spark):
+    """Each length links as it would alone, the rare ones as well."""
+    rng = np.random.default_rng(2)
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0, 0.0]), (4, [1.0, 2.0, 0.0]), (5, [1.0, 2.0, 0.1]), (6, [2.0]), (7, [0.5]), (8, [-1.0]), (9, [-2.0, 1.0])]
+    for base, dim in ((100, 12), (200, 16), (300, 40)):
+        center = rng.standard_normal(dim)
+        center /= np.linalg.norm(center)
+        rows += [(base + k, _turned(rng, center, cos).tolist()) for k, cos in enumerate([0.97] * 12 + [0.999] * 6 + [0.3] * 6)]
+    got = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=4).collect()}
+    links = {k: set() for k, _ in rows}
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        if len(x) == len(y) and np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9:
+            links[a].add(b)
+            links[b].add(a)
+    assert {k: got[k].n_links for k in links} == {k: len(v) for k, v in links.items()}
+    ids = [k for k, _ in rows]
+    want = components(ids, [(a, b) for a in links for b in links[a]])
+    assert {k: got[k].component_id for k in links} == {k: want[k] for k in links}
+
+
 def test_keys_recall():
     rng = np.random.default_rng(9)
     a = rng.standard_normal((1500, 64))
