@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gatewise.functions.risk import FEATURES
 from gatewise.functions.text import seeded_hash
+from gatewise.operators.neighbours import nearest, nearest_lists
 from gatewise.session import written
 
 _DIGITS = 4
@@ -241,31 +242,61 @@ def score_isolation_forest(forest: Forest, test: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ local outlier factor
 
-def _standardised(features: DataFrame, probes: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
-    """Distinct feature vectors with multiplicity and z-scored coordinates.
+def _distinct(features: DataFrame, probes: DataFrame | None = None) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Distinct feature vectors with multiplicity, written, and mean and variance of each feature.
 
-    ``probes`` are placed on the same scale with multiplicity 0.
+    ``probes`` are among them with multiplicity 0; rows of ``features`` alone give the two moments.
     """
     base = numeric(features).select(*FEATURES, F.lit(1.0).alias("w"))
     if probes is not None:
         base = base.unionByName(numeric(probes).select(*FEATURES, F.lit(0.0).alias("w")))
-    base = base.groupBy(*FEATURES).agg(F.sum("w").alias("w"))
-    base = written(base, "vectors")
+    base = written(base.groupBy(*FEATURES).agg(F.sum("w").alias("w")), "vectors")
     mass = base.agg(F.sum("w").alias("n"), *[
         e for f in FEATURES for e in (
             F.sum(F.col(f) * F.col("w")).alias(f"s_{f}"), F.sum(F.col(f) * F.col(f) * F.col("w")).alias(f"q_{f}")
         )
     ]).first()
     n = mass["n"] or 1.0
-    cols, zs = [], []
-    for f in FEATURES:
-        mean = (mass[f"s_{f}"] or 0.0) / n
-        sd = max((mass[f"q_{f}"] or 0.0) / n - mean * mean, 0.0) ** 0.5
-        if sd > 0:
-            zs.append(f"z_{f}")
-            cols.append(((F.col(f) - mean) / sd).alias(f"z_{f}"))
+    means = {f: (mass[f"s_{f}"] or 0.0) / n for f in FEATURES}
+    return base, {f: (m, max((mass[f"q_{f}"] or 0.0) / n - m * m, 0.0)) for f, m in means.items()}
+
+
+def _standardised(features: DataFrame, probes: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """Distinct feature vectors with multiplicity and z-scored coordinates.
+
+    ``probes`` are placed on the same scale with multiplicity 0.
+    """
+    base, moments = _distinct(features, probes)
+    varied = {f: (m, v**0.5) for f, (m, v) in moments.items() if v > 0}
+    cols = [((F.col(f) - mean) / sd).alias(f"z_{f}") for f, (mean, sd) in varied.items()]
     ids = F.xxhash64(*FEATURES).alias("vid")
-    return base.select(ids, "w", *FEATURES, *cols), zs
+    return base.select(ids, "w", *FEATURES, *cols), [f"z_{f}" for f in varied]
+
+
+def _exact_lists(features: DataFrame, probes: DataFrame | None, k: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors (vid, w, asked) and their exact neighbour lists (vid, nid, d, nw, probing), all ties included.
+
+    Squared differences are divided by the variance, kept to seven digits so that equal distances stay equal. A
+    vector's copies are neighbours at distance 0: of a reference row all but itself, of a probe (``probing``) all.
+    Vectors with a missing feature take no part.
+    """
+    c = F.col
+    base, moments = _distinct(features, probes)
+    varied = [f for f, (_, v) in moments.items() if v > 0]
+    scale = [float(f"{1 / moments[f][1]:.6e}") for f in varied]
+    known = base.where(reduce(lambda a, b: a & b, [c(f).isNotNull() & ~F.isnan(f) for f in FEATURES]))
+    x = F.array(*[c(f) for f in varied]) if varied else F.array(F.lit(0.0))
+    vectors = written(known.select(F.xxhash64(*FEATURES).alias("vid"), "w", F.lit(True).alias("asks"), x.alias("x")), "vectors")
+    found = nearest(vectors, scale or [0.0], k, block=block).withColumn("probing", F.lit(False))
+    copies = lambda n, probing: vectors.where(n > 0).select(
+        "vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), n.alias("nw"), F.lit(probing).alias("probing"))
+    found = written(found, "found")
+    lists = nearest_lists(found.join(vectors.where("w > 0").select("vid"), "vid", "left_semi").unionByName(copies(c("w") - 1, False)), k)
+    if probes is not None:
+        asked = numeric(probes).select(F.xxhash64(*FEATURES).alias("vid")).distinct()
+        looked = found.withColumn("probing", F.lit(True)).unionByName(copies(c("w"), True)).join(asked, "vid", "left_semi")
+        lists = lists.unionByName(nearest_lists(looked, k))
+    return vectors, written(lists, "lists")
 
 
 def _blocks(vectors: DataFrame, directions: list[Column], size: int) -> DataFrame:
@@ -357,52 +388,61 @@ def _densities(lists: DataFrame, reach_of: DataFrame) -> DataFrame:
     return joined.groupBy("vid").agg((F.sum("nw") / (weighted + 1e-10)).alias("lrd"))
 
 
-def novelty_outlier_factor(reference: DataFrame, features: DataFrame, k: int = 20, projections: int = 4, block: int = 512) -> DataFrame:
+def _factors(fitted: DataFrame, asked: DataFrame) -> DataFrame:
+    """(vid, lof) of the lists ``asked``, with reach and densities from the lists of reference rows, ``fitted``."""
+    c = F.col
+    reach_of = fitted.groupBy("vid").agg(F.max("d").alias("kd"))
+    other = _densities(fitted, reach_of).select(c("vid").alias("nid"), c("lrd").alias("nlrd"))
+    around = asked.join(other, "nid").groupBy("vid").agg((F.sum(c("nw") * c("nlrd")) / F.sum("nw")).alias("around"))
+    return around.join(_densities(asked, reach_of), "vid").select("vid", (c("around") / c("lrd")).alias("lof"))
+
+
+def _with_factor(features: DataFrame, factor: DataFrame) -> DataFrame:
+    keep = [n for n in features.columns if n not in FEATURES]
+    rows = numeric(features).withColumn("vid", F.xxhash64(*FEATURES))
+    return rows.join(factor, "vid", "left").select(*keep, F.round("lof", _DIGITS).alias("score"))
+
+
+def novelty_outlier_factor(
+    reference: DataFrame, features: DataFrame, k: int = 20, projections: int = 4, block: int = 512, exact: bool = True,
+) -> DataFrame:
     """``features`` with ``score``: local outlier factor against the rows of ``reference`` only.
 
     Fitted on one table, usually undisturbed training rows, and applied to another: scale, neighbours and
-    densities come from the reference. Without reference rows no row has a score.
+    densities come from the reference. Without reference rows no row has a score. Neighbours are exact, with all
+    rows as far as the k-th; ``exact=False`` takes near ones from ``projections`` random directions, in bounded time.
     """
     c = F.col
+    if exact:
+        _, lists = _exact_lists(reference, features, k, block)
+        return _with_factor(features, _factors(lists.where("not probing"), lists.where("probing")))
     vectors, zs = _standardised(reference, features)
     found = written(_neighbours(vectors, zs, k, projections, block, probed=True), "neighbours")
     asked = numeric(features).select(F.xxhash64(*FEATURES).alias("vid")).distinct()
     copies = lambda n: vectors.where(n > 0).select("vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), n.alias("nw"))
     fitted = found.join(vectors.where("w > 0").select("vid"), "vid", "left_semi")
     fitted = written(_nearest_lists(fitted, copies(c("w") - 1), k), "lists")
-    reach_of = fitted.groupBy("vid").agg(F.max("d").alias("kd"))
-    density = _densities(fitted, reach_of)
     probed = found.join(asked, "vid", "left_semi").unionByName(copies(c("w")).join(asked, "vid", "left_semi"))
     probed = written(_nearest_lists(probed, copies(F.lit(0.0)), k), "lists")
-    other = density.select(c("vid").alias("nid"), c("lrd").alias("nlrd"))
-    around = probed.join(other, "nid").groupBy("vid").agg((F.sum(c("nw") * c("nlrd")) / F.sum("nw")).alias("around"))
-    factor = around.join(_densities(probed, reach_of), "vid").select("vid", (c("around") / c("lrd")).alias("lof"))
-    keep = [n for n in features.columns if n not in FEATURES]
-    rows = numeric(features).withColumn("vid", F.xxhash64(*FEATURES))
-    return rows.join(factor, "vid", "left").select(*keep, F.round("lof", _DIGITS).alias("score"))
+    return _with_factor(features, _factors(fitted, probed))
 
 
-def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4, block: int = 512) -> DataFrame:
-    """Rows with ``score``: local outlier factor from approximate near neighbours.
+def local_outlier_factor(features: DataFrame, k: int = 20, projections: int = 4, block: int = 512, exact: bool = True) -> DataFrame:
+    """Rows with ``score``: local outlier factor among all rows.
 
-    Neighbour search runs on distinct vectors; a vector's copies count as neighbours
-    at distance 0. Rows get the factor of their vector, NULL where it has no neighbours.
+    Neighbour search runs on distinct vectors; a vector's copies count as neighbours at distance 0. Rows get the
+    factor of their vector, NULL where it has no neighbours or a feature is missing. ``exact`` as in
+    :func:`novelty_outlier_factor`.
     """
     c = F.col
+    if exact:
+        _, lists = _exact_lists(features, None, k, block)
+        return _with_factor(features, _factors(lists, lists))
     vectors, zs = _standardised(features)
     found = _neighbours(vectors, zs, k, projections, block)
     own = vectors.where("w > 1").select("vid", c("vid").alias("nid"), F.lit(0.0).alias("d"), (c("w") - 1).alias("nw"))
     lists = written(_nearest_lists(found, own, k), "lists")
-    density = _densities(lists, lists.groupBy("vid").agg(F.max("d").alias("kd")))
-    other = density.select(c("vid").alias("nid"), c("lrd").alias("nlrd"))
-    factor = (
-        lists.join(other, "nid").groupBy("vid").agg((F.sum(c("nw") * c("nlrd")) / F.sum("nw")).alias("around"))
-        .join(density, "vid").select("vid", (c("around") / c("lrd")).alias("lof"))
-    )
-    keep = [n for n in features.columns if n not in FEATURES]
-    rows = numeric(features).withColumn("vid", F.xxhash64(*FEATURES))
-    joined = rows.join(factor, "vid", "left")
-    return joined.select(*keep, F.round("lof", _DIGITS).alias("score"))
+    return _with_factor(features, _factors(lists, lists))
 
 
 # ---------------------------------------------------------------- elliptic envelope
