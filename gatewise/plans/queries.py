@@ -1185,17 +1185,29 @@ def _(spark, sf):
     return models.score_isolation_forest(forest, test).select(*_SCORED)
 
 
-@query("model_local_outlier_factor")
+def _nine_digits(score: str = "score"):
+    """Factors next to many copies exceed 10**9, where sums in another order differ in the fourth decimal."""
+    return F.when(F.col(score).isNotNull(), F.format_string("%.8e", score).try_cast("double")).alias(score)
+
+
+_LOF_ROWS = f"""select row_id, is_gold, is_ato, cast(printf('%.8e', round(lof, 4)) as double) as score
+from numbers n left join factors f on {" and ".join(f"n.{f} = f.{f}" for f in FEATURES)}"""
+
+
+@query("model_local_outlier_factor", sql.with_(f"""{sql.features()}, {_TIME_CUT},
+{sql.outlier_factors("ts < (select cut_ts from cut) and not is_attack_ip", "ts >= (select cut_ts from cut)")}""",
+    f"{_LOF_ROWS} where ts >= (select cut_ts from cut)"))
 def _(spark, sf):
     train, test = _folds(spark, sf)
-    return models.novelty_outlier_factor(train.where("not is_attack_ip"), test).select(*_SCORED)
+    scored_rows = models.novelty_outlier_factor(train.where("not is_attack_ip"), test)
+    return scored_rows.select("row_id", "is_gold", "is_ato", _nine_digits())
 
 
-@query("model_outlier_factor_within")
+@query("model_outlier_factor_within", sql.with_(f"{sql.features()},{sql.outlier_factors('true', None)}", _LOF_ROWS))
 def _(spark, sf):
     """Every row against all other rows, both folds."""
-    rows = scoring.with_gold(featured(spark, sf))
-    return models.local_outlier_factor(rows).select(*_SCORED)
+    rows = written(scoring.with_gold(featured(spark, sf)), "rows")
+    return models.local_outlier_factor(rows).select("row_id", "is_gold", "is_ato", _nine_digits())
 
 
 @query("model_envelope")

@@ -8,7 +8,7 @@ constants as the Spark side; the logic does not.
 from __future__ import annotations
 
 from gatewise.functions import agents
-from gatewise.functions.risk import KINDS, LEVELS, RULES, RiskParams
+from gatewise.functions.risk import FEATURES, KINDS, LEVELS, RULES, RiskParams
 from gatewise.sources.projection import AGENTS
 
 PRIVATE = r"^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]"
@@ -294,3 +294,35 @@ summed as (select *, score + cast(floor(model_score * {points}) as integer) as c
 ranked as (select *, case {levels} end as level from summed),
 combined as (select *, case level {acts} end as decision,
    concat_ws('; ', nullif(said, ''), case when model_score >= {said_from} then {quoted(reason)} end) as reasons from ranked)"""
+
+
+def outlier_factors(reference: str, probes: str | None, k: int = 20) -> str:
+    """CTEs ending in ``factors`` over ``features``: local outlier factors from all pairs of distinct vectors.
+
+    ``reference`` and ``probes`` are conditions on rows; without probes the reference rows are compared among themselves.
+    """
+    names = [f"cast({f} as double) as {f}" for f in FEATURES]
+    vector = ", ".join(FEATURES)
+    weights = ", ".join(
+        f"case when var_pop({f}) > 0 then cast(printf('%.6e', 1 / var_pop({f})) as double) else 0 end as p_{f}" for f in FEATURES)
+    d = "sqrt(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f}) * p_{f}" for f in FEATURES) + ")"
+    near = lambda pairs: f"""select vid, nid, d, nw from (select *, sum(nw) over (partition by vid order by d
+    range between unbounded preceding and current row) - sum(nw) over (partition by vid, d) as before from {pairs}) where before < {k}"""
+    dense = lambda lists: f"""select vid, sum(nw) / (sum(nw * greatest(d, kd)) + 1e-10) as lrd
+    from {lists} join reach on reach.oid = nid group by vid"""
+    asked = "" if probes is None else f"""
+asked as (select row_number() over () as vid, * from (select distinct {vector} from numbers where {probes})),
+apart as (select a.vid, b.vid as nid, b.w as nw, {d} as d from asked a, refs b, weights),
+near as ({near("apart")}),
+density_asked as ({dense("near")}),"""
+    lists, density, found = ("near", "density_asked", "asked") if probes is not None else ("own", "density", "refs")
+    return f"""numbers as (select * replace ({", ".join(names)}), is_attack_ip and login_success as is_gold from features),
+weights as (select {weights} from numbers where {reference}),
+refs as (select row_number() over () as vid, * from (select {vector}, cast(count(*) as double) as w from numbers where {reference} group by {vector})),
+pairs as (select a.vid, b.vid as nid, b.w - case when a.vid = b.vid then 1 else 0 end as nw, {d} as d from refs a, refs b, weights),
+own as ({near("(select * from pairs where nw > 0)")}),
+reach as (select vid as oid, max(d) as kd from own group by vid),
+density as ({dense("own")}),{asked}
+factors as (select t.*, x.around / y.lrd as lof from {found} t
+  left join (select l.vid, sum(l.nw * o.lrd) / sum(l.nw) as around from {lists} l join density o on o.vid = l.nid group by l.vid) x on x.vid = t.vid
+  left join {density} y on y.vid = t.vid)"""
