@@ -987,10 +987,16 @@ n as (select *, sum(opens) over (partition by user_id order by ts, row_id) as se
 select user_id, min(ts) as session_start, max(ts) + interval 30 minute as session_end, count(*) as events,
  count(*) filter (where decision <> 'allow') as not_allowed from n group by user_id, session"""))
 def _(spark, sf):
-    path = scratch_dir(spark, "scored")
-    scored(spark, sf).select("row_id", "user_id", "ts", "decision").write.parquet(path)
-    stream = live.replay_source(spark, path, spark.read.parquet(path).schema, files_per_trigger=1000)
-    return live.run_counts(live.login_sessions(stream), scratch_dir(spark, "sessions"))
+    """Two runs over slices in the order of time, then one that closes what is open."""
+    rows = written(scored(spark, sf).select("row_id", "user_id", "ts", "decision"), "scored")
+    path, out = scratch_dir(spark, "slices"), scratch_dir(spark, "sessions")
+    cut = rows.agg(F.percentile_approx("ts", 0.5).alias("ts")).first()["ts"]
+    sessions = lambda: live.run_to_table(live.login_sessions(live.replay_source(spark, path, rows.schema)), out)
+    for part in (rows.where(F.col("ts") < F.lit(cut)), rows.where(F.col("ts") >= F.lit(cut))):
+        part.coalesce(1).write.mode("append").parquet(path)
+        sessions()
+    live.mark_end(spark, path, rows.schema)
+    return sessions()
 
 
 @query("stream_profiles", sql.with_(sql.clean(), """

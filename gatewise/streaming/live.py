@@ -103,7 +103,11 @@ def decision_totals(scored: DataFrame, length: str = "1 hour", slide: str | None
 
 
 def login_sessions(scored: DataFrame, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:
-    """Decision counts per user session closed by ``gap`` of silence."""
+    """Decision counts per user session closed by ``gap`` of silence.
+
+    For append mode: a session is given once, when the watermark has passed its end, and leaves the state then, so
+    the state holds open sessions only. :func:`mark_end` closes the last ones of a replay.
+    """
     timed = scored.select("user_id", "decision", F.col("ts").cast("timestamp").alias("at")).withWatermark("at", watermark)
     grouped = timed.groupBy(F.session_window("at", gap).alias("w"), "user_id")
     return grouped.agg(
@@ -127,11 +131,21 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
+def mark_end(spark: SparkSession, path: str, schema: T.StructType, after: str = "1 hour") -> None:
+    """Append one row to a replay folder: NULL but for ``ts``, which lies ``after`` the newest time there.
+
+    It moves the watermark behind the end of every session when ``after`` is longer than gap and watermark
+    together. Its own session stays open and is never given. Rows that come afterwards are late unless they are newer.
+    """
+    newest = spark.read.schema(schema).parquet(path).agg((F.max("ts") + F.expr(f"interval {after}")).alias("ts")).where("ts is not null")
+    row = [F.col("ts").cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    newest.select(*row).coalesce(1).write.mode("append").parquet(path)
+
+
 def run_counts(stream: DataFrame, path: str) -> DataFrame:
     """Drain an aggregating stream and return the table of its latest counts.
 
-    Complete mode, so groups still open at the end of the data are included; for
-    session windows, which know no update mode. Each trigger owns a folder; the last
+    Complete mode, so groups still open are included and the state keeps them all. Each trigger owns a folder; the last
     one holds the result.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
