@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gatewise.functions.risk import FEATURES, KINDS, RULES, RiskParams
 from gatewise.functions import text
-from gatewise.operators import audit, checks, contract, evaluate, features, models, sampling, scoring, slots
+from gatewise.operators import audit, checks, contract, daily, evaluate, features, models, sampling, scoring, slots
 from gatewise.operators.clean import clean, observed_clean
 from gatewise.operators.features import FeatureParams
 from gatewise.operators.sampling import SampleSpec
@@ -242,6 +242,28 @@ def _(spark, sf):
     return checks.profile(cleaned(spark, sf))
 
 
+@query("profile_daily", sql.with_(sql.clean(), """
+select count(*) as total_rows, count(*) filter (where is_attack_ip) as attack_rows, count(*) filter (where is_ato) as ato_rows,
+  min(ts) as min_ts, max(ts) as max_ts, true as users_close, true as ips_close, true as median_close from clean"""))
+def _(spark, sf):
+    """Merged from sketches of days added in two runs, the second of which repeats a day; estimates held against exact counts."""
+    rows, path = written(cleaned(spark, sf).select("user_id", "ip", "ts", "rtt", "is_attack_ip", "is_ato"), "rows"), scratch_dir(spark, "daily")
+    cut = rows.agg(F.percentile_approx("ts", 0.5).alias("ts")).first()["ts"]
+    day = F.to_date("ts")
+    daily.add_days(rows.where(day <= F.to_date(F.lit(cut))), path)
+    daily.add_days(rows.where((day >= F.to_date(F.lit(cut))) | day.isNull()), path)
+    exact = rows.agg(F.count_distinct("user_id").alias("users"), F.count_distinct("ip").alias("ips"))
+    c = F.col
+    merged = daily.merged_profile(spark, path)
+    at = merged.select("median_rtt").scalar()
+    ranks = rows.where("rtt is not null").agg(F.avg((c("rtt") < at).cast("int")).alias("below"), F.avg((c("rtt") <= at).cast("int")).alias("upto"))
+    merged = merged.withColumns({n: t.select(n).scalar() for t, names in ((exact, ("users", "ips")), (ranks, ("below", "upto"))) for n in names})
+    near = lambda estimate, true: F.abs(c(estimate) - c(true)) <= 0.03 * c(true) + 1
+    return merged.select(
+        "total_rows", "attack_rows", "ato_rows", "min_ts", "max_ts", near("unique_users", "users").alias("users_close"),
+        near("unique_ips", "ips").alias("ips_close"), ((c("below") <= 0.53) & (c("upto") >= 0.47)).alias("median_close"))
+
+
 # ---------------------------------------------------------------------- audits
 
 def _grid_sql() -> str:
