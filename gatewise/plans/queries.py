@@ -958,9 +958,16 @@ def _login_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(logins_from_events(live.replay_source(spark, sf_dir, schema, "events.parquet")))
 
 
+def _user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored logins as a stream for the path by user: no micro-batch holds all rows of a busy user."""
+    raw, path = read_logins(spark, sf_dir), scratch_dir(spark, "by-user")
+    live.user_slices(raw, path, text.to_long(F.col("user_id")), text.micros(text.to_timestamp_ntz(F.col("ts"))))
+    return clean(live.replay_source(spark, path, raw.schema))
+
+
 def _live_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything is learned, so the stream must equal the batch features."""
-    scores = live.live_scores(_login_stream(spark, sf_dir), live.LiveParams(risk=RISK))
+    scores = live.live_scores(_user_stream(spark, sf_dir), live.LiveParams(risk=RISK))
     return live.run_to_table(scores, scratch_dir(spark, "live"))
 
 
@@ -972,7 +979,7 @@ def _(spark, sf):
 @query("stream_alerts", sql.with_(sql.scores(), """
 select row_id, user_id, ts, score, level, colour, decision, reasons from scored where decision <> 'allow'"""))
 def _(spark, sf):
-    scores = live.live_scores(_login_stream(spark, sf), live.LiveParams(risk=RISK))
+    scores = live.live_scores(_user_stream(spark, sf), live.LiveParams(risk=RISK))
     return live.run_to_table(live.alerts(scores), scratch_dir(spark, "alerts"))
 
 
@@ -1035,7 +1042,7 @@ def _(spark, sf):
 
 def accepted_only_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = live.LearnPolicy(everything=False)
-    scores = live.live_scores(_login_stream(prepare(spark), sf_dir), live.LiveParams(risk=RISK, policy=policy))
+    scores = live.live_scores(_user_stream(prepare(spark), sf_dir), live.LiveParams(risk=RISK, policy=policy))
     return live.run_to_table(scores, scratch_dir(spark, "live"))
 
 
@@ -1058,8 +1065,9 @@ select c.row_id, prior > 0 and since < c.ts as country_seen_before from clean c
 join known k on k.user_id = c.user_id and k.country = c.country"""))
 def _(spark, sf):
     """Confirmed values are known from the confirmation on, whatever was decided then."""
-    logins = _login_stream(spark, sf)
-    told = live.confirmations(_login_stream(spark, sf).where(_CONFIRMED).withColumn("country", F.lit("SE")))
+    logins = _user_stream(spark, sf)
+    # the same files once more, so that both streams are at the same slice
+    told = live.confirmations(logins.where(_CONFIRMED).withColumn("country", F.lit("SE")))
     scores = live.live_scores(logins, live.LiveParams(risk=RISK), told)
     table = live.run_to_table(scores, scratch_dir(spark, "live"))
     return table.select("row_id", "country_seen_before")

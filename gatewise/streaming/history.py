@@ -26,6 +26,8 @@ FACTS = (
     T.StructField("_hour_before", T.LongType()),
     T.StructField("_learned", T.BooleanType()),
 )
+#: Rows that are Python objects at a time; the rest of a call stays in columns.
+_CHUNK = 20_000
 _DAY_US = 86_400 * 1_000_000
 _HOUR_US = 3_600 * 1_000_000
 _TOTALS = (
@@ -94,22 +96,26 @@ class LoginHistory(StatefulProcessor):
         self.values = {k: handle.getMapState(f"seen_{k}", "value string", "first_us bigint") for k in KINDS}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "row_id"], kind="stable")
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at_us", "row_id"], kind="stable", ignore_index=True)
         state = self._load()
-        facts = []
-        for row in batch.to_dict("records"):
-            if row["at_us"] != row["at_us"] or row["at_us"] is None:  # untimed rows are sorted last
-                facts.append((0, *[False for _ in KINDS], None, 0, 0, 0, False))
-            else:
-                facts.append(self._confirm(row, state) if row["row_kind"] == CONFIRM else self._login(row, state))
+        for start in range(0, len(batch), _CHUNK):
+            part = batch.iloc[start:start + _CHUNK]
+            yield self._told(part, [self._facts(row, state) for row in part.to_dict("records")])
         self._save(state)
-        out = batch[list(self.columns)].reset_index(drop=True)
+
+    def _facts(self, row: dict, state: dict) -> tuple:
+        if row["at_us"] != row["at_us"] or row["at_us"] is None:  # untimed rows are sorted last
+            return (0, *[False for _ in KINDS], None, 0, 0, 0, False)
+        return self._confirm(row, state) if row["row_kind"] == CONFIRM else self._login(row, state)
+
+    def _told(self, rows: pd.DataFrame, facts: list[tuple]) -> pd.DataFrame:
+        out = rows[list(self.columns)].reset_index(drop=True)
         out["at_us"] = out["at_us"].astype("Int64")
         told = pd.DataFrame(facts, columns=[f.name for f in FACTS])
         for field in FACTS:
             if isinstance(field.dataType, T.LongType):
                 told[field.name] = told[field.name].astype("Int64")
-        yield pd.concat([out, told], axis=1)
+        return pd.concat([out, told], axis=1)
 
     def _load(self) -> dict:
         names = [part.split()[0] for part in _TOTALS.split(", ")]

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gatewise.functions import risk
 from gatewise.functions.risk import FEATURES, KINDS, RiskParams
 from gatewise.functions.text import micros
 from gatewise.operators.scoring import score_events
+from gatewise.operators.slots import even_cuts, slotted
+from gatewise.session import written
 from gatewise.streaming.history import CONFIRM, FACTS, LOGIN, LearnPolicy, LoginHistory
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of one user that a replay hands to one micro-batch of the path by user.
+SLICE_ROWS = 400_000
 LIVE_COLUMNS = ("row_id", "user_id", "ts", "login_success", "is_attack_ip", "is_ato", *KINDS.values())
 
 
@@ -33,6 +37,30 @@ def replay_source(spark: SparkSession, directory: str, schema: T.StructType, pat
     return reader.parquet(directory)
 
 
+def user_slices(rows: DataFrame, path: str, user: Column, at: Column, slice_rows: int = SLICE_ROWS) -> int:
+    """Store ``rows`` under ``path`` as files for a replay that takes one a trigger; returns their number.
+
+    The path by user holds the rows that a user has in a micro-batch, so a user of more than ``slice_rows`` rows is
+    cut in the order of ``at`` (microseconds), a slot a file; rows of one user and one time stay together. State is
+    read and written once per user and trigger, so all other users lie whole in one file, dealt by hash. Order between
+    users means nothing there. Rows without a time have no history and are dealt to any file.
+    """
+    who = F.coalesce(F.concat(F.lit("="), user.cast("string")), F.lit("-"))
+    placed = written(rows.withColumns({"_who": who, "_at": at}), "rows")
+    cuts = written(even_cuts(placed, "_who", "_at", slice_rows), "cuts")
+    most = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
+    number = max(most + 1, -(-placed.count() // (4 * slice_rows)))
+    any_file = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(number)).cast("int")
+    timed = F.when(F.col("_at").isNotNull(), F.col("_slot"))
+    own = F.when(F.col("_slot").isNull(), any_file("_who")).otherwise(F.coalesce(timed, any_file(*rows.columns)))
+    dealt = slotted(placed, cuts, "_who", "_at").withColumn("_slice", own).select(*rows.columns, "_slice")
+    dealt = dealt.repartition(4 * number, "_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
+    table = written(dealt, "slices", partition_by="_slice")
+    for k in range(number):  # the file source takes files in the order in which they were written
+        table.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+    return number
+
+
 def confirmations(rows: DataFrame) -> DataFrame:
     """Marks rows as "this was me" feedback instead of logins."""
     return rows.withColumn("row_kind", F.lit(CONFIRM))

@@ -96,3 +96,21 @@ def test_window_totals(spark, events, tmp_path, slide):
     totals = live.decision_totals(stream, "1 hour", slide)
     got = live.run_upserts(totals, str(tmp_path / "out"), "window_start", "window_end", "decision").collect()
     assert sum(r.events for r in got) == (24 if slide else 12)
+
+
+def test_a_busy_user_is_cut_and_all_others_lie_whole(spark, events, tmp_path):
+    base = random_logins(events, 300)
+    df = base.withColumn("user_id", F.when(F.col("row_id") % 2 == 0, 0).otherwise(F.col("user_id") + 1).cast("bigint"))
+    folder = str(tmp_path / "in")
+    n = live.user_slices(df, folder, F.col("user_id"), live.micros(F.col("ts")), slice_rows=40)
+    files = spark.read.schema(df.schema).parquet(folder).withColumn("f", F.input_file_name())
+    per_user = {(r.user_id, r.f): r["count"] for r in files.groupBy("user_id", "f").count().collect()}
+    assert n >= 4 and max(per_user.values()) <= 80
+    busy = {u for u, _ in per_user if sum(v for (w, _), v in per_user.items() if w == u) > 40}
+    assert 0 in busy and all(sum(u == w for w, _ in per_user) == 1 for u, _ in per_user if u not in busy)
+    scores = live.live_scores(live.replay_source(spark, folder, df.schema))
+    got = live.run_to_table(scores, str(tmp_path / "out")).collect()
+    want = {r.row_id: r for r in behaviour_features(df, FeatureParams(slot_rows=20)).collect()}
+    assert sorted(r.row_id for r in got) == sorted(want)
+    for r in got:
+        assert [r[f] for f in FEATURES] == [want[r.row_id][f] for f in FEATURES], r.row_id
