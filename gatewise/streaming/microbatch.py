@@ -8,7 +8,9 @@ cut into even slots, facts are computed inside (user, slot) and merged from slot
 Learning only from accepted logins makes a decision depend on the decisions before it. It is solved by rounds over
 the whole batch: what the stored profile alone accepts is learned first, then what that lets be accepted, until
 nothing changes. A fact looks at strictly earlier rows only, so the rounds end at the one answer that reading the
-rows in order would give.
+rows in order would give. Where rules alone decide and fewer points are never worse, what is learned only lets more in,
+so a round looks at patterns (equal values and equal points of the other rules) whose values have become known since
+the last one; the rows are judged once, at the end.
 
 Time. A row older than the newest of its user in an earlier batch is late: scored against the profile as it stands,
 and never learned. With ``expire_us`` a profile lives until its user has been silent for longer than that; the next login
@@ -27,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gatewise.functions import risk
-from gatewise.functions.risk import KINDS
+from gatewise.functions.risk import KINDS, RULES
 from gatewise.functions.text import micros
 from gatewise.operators import models, scoring
 from gatewise.operators.slots import even_cuts, running_before, slotted
@@ -239,6 +241,88 @@ class _Batch:
         everyone = self.new.select("rid")
         if self.params.live.policy.everything:
             return everyone
+        return self._by_patterns() if self._fewer_points_pass() else self._by_rounds(everyone)
+
+    def _fewer_points_pass(self) -> bool:
+        """Whether rules alone decide and every score below an accepted one is accepted."""
+        actions, accepted = dict(self.risk.decisions), self.params.live.policy.accepted
+        passes = [actions.get(name) in accepted for name, _ in sorted(self.risk.levels, key=lambda level: level[1])]
+        return self.params.model is None and passes == sorted(passes, reverse=True)
+
+    def _points(self, seen: bool, prior: int) -> DataFrame:
+        """Score of each new row if all its values were known (``seen``) and its user had ``prior`` logins."""
+        told = {f"_seen_{k}": F.lit(seen) for k in KINDS} | {
+            "_prior": F.lit(prior).cast("bigint"), "_hour_before": F.lit(0).cast("bigint"), "_learned": F.lit(False)}
+        return self.scored(self.new.join(self.attempts, "rid").withColumns(told)).select(F.col("row_key").alias("rid"), "score")
+
+    def _by_patterns(self) -> DataFrame:
+        c, life = F.col, ["who", "life"]
+        values = [f"v_{k}" for k in KINDS]
+        points = {rule: n for rule, n, _ in RULES}
+        passes = lambda score: F.coalesce(risk.decision(risk.level(score, self.risk), self.risk).isin(*self.params.live.policy.accepted), F.lit(False))
+        first, later = self._points(False, 0), self._points(True, 1)
+        rows = self.new.select("rid", *life, "slot", "at_us", *[_mark(c(col)).alias(f"v_{k}") for k, col in KINDS.items()])
+        rows = rows.join(first.select("rid", passes(c("score")).alias("opens")), "rid").join(later.select("rid", c("score").alias("base")), "rid")
+        rows = written(rows, "live-judged")
+        # from when on a profile has learned something: before the batch, or by its first row that passes without history
+        known = self.past.where("kind = 'total' and known > 0").select(*life, F.lit(_EVER).alias("began"))
+        began = known.unionByName(rows.where("opens").groupBy(*life).agg(F.min("at_us").alias("began")))
+        began = written(began.groupBy(*life).agg(F.min("began").alias("began")), "live-began")
+        # what no known value can let in is in no pattern
+        may = rows.where(passes(c("base")))
+        pattern = [*life, *values, "base"]
+        # per pattern and slot its times end where, so that one slot of a pattern is looked into
+        ends = written(may.groupBy(*pattern, "slot").agg(F.max("at_us").alias("ends")), "live-ends")
+        patterns = ends.groupBy(*pattern).agg(F.max("ends").alias("ends")).join(began, life)
+        # a number for each pattern's columns, unlike a hash never the same for two
+        patterns = written(patterns.withColumn("pattern", F.monotonically_increasing_id()), "live-patterns")
+        numbered = patterns.select(*pattern, "pattern")
+        times = written(_with(may, numbered, pattern).select("rid", "pattern", "slot", "at_us"), "live-times")
+        ends = written(ends.join(numbered, pattern).select("pattern", "slot", "ends"), "live-ends")
+        places = patterns.select(*life, "pattern", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("kind"), c(f"v_{k}").alias("value")) for k in KINDS])).alias("p"))
+        places = written(places.select(*life, "pattern", "p.kind", "p.value"), "live-places")
+        key = [*life, "kind", "value"]
+        own = patterns.select("pattern", *life, "began", "base", "ends")
+
+        def since(firsts: DataFrame) -> DataFrame:
+            """Per pattern the time after which it passes, given when its values were first known."""
+            met = places.join(firsts, key, "left").groupBy("pattern").agg(
+                *[F.max(F.when(c("kind") == k, c("first_us"))).alias(f"f_{k}") for k in KINDS])
+            wanting = lambda at: reduce(lambda a, b: a + b, [
+                F.when(c(f"f_{k}").isNull() | (c(f"f_{k}") > at), points[f"new_{k}"]).otherwise(0) for k in KINDS], c("base"))
+            steps = F.array_compact(F.array(c("began"), *[F.when(c(f"f_{k}").isNotNull(), F.greatest(c("began"), c(f"f_{k}"))) for k in KINDS]))
+            passing = F.array_min(F.filter(steps, lambda at: passes(wanting(at))))
+            return own.join(met, "pattern").select("pattern", *life, "ends", passing.alias("since"))
+
+        learned = _values(self.new.join(rows.where("opens").join(began, life).where(c("at_us") == c("began")).select("rid"), "rid", "left_semi")
+                          .unionByName(self.rows.where("state = 'told' and life is not null")), *life, "at_us")
+        firsts = self._firsts(None).unionByName(learned.select(*key, c("at_us").alias("first_us")))
+        firsts = written(firsts.groupBy(*key).agg(F.min("first_us").alias("first_us")), "live-firsts")
+        done = None
+        while True:
+            now = since(firsts).where("since < ends")
+            if done is not None:  # only what passes from an earlier time on than before
+                before = done.select("pattern", c("since").alias("was"))
+                now = now.join(before, "pattern", "left").where("was is null or since < was").drop("was")
+            now = written(now, "live-since")
+            if now.isEmpty():
+                break
+            # the first row behind that time, from the first slot that ends behind it
+            slot = ends.join(now.select("pattern", "since"), "pattern").where("ends > since").groupBy("pattern", "since").agg(F.min("slot").alias("slot"))
+            taught = times.join(slot, ["pattern", "slot"]).where("at_us > since").groupBy("pattern").agg(F.min("at_us").alias("first_us"))
+            fresh = places.join(taught, "pattern").select(*key, "first_us")
+            firsts = written(firsts.unionByName(fresh).groupBy(*key).agg(F.min("first_us").alias("first_us")), "live-firsts")
+            done = now if done is None else done.unionByName(now)
+            done = written(done.groupBy("pattern", *life, "ends").agg(F.min("since").alias("since")), "live-done")
+        opening = rows.where("opens").join(began, life).where(c("at_us") == c("began")).select("rid")
+        if done is None:
+            return opening
+        passed = _with(times, done.select("pattern", "since"), ["pattern"]).where("at_us > since").select("rid")
+        return opening.unionByName(passed)
+
+    def _by_rounds(self, everyone: DataFrame) -> DataFrame:
+        """Every row anew in every round; for models and policies under which a known value can also shut rows out."""
         # Where nothing is known yet, only the first that its time and failures alone let in is sure to be learned.
         alone = written(self.scored(self.facts(everyone.where("false"))), "live-alone")
         sure = self.new.join(self._accepted(alone), "rid").join(alone.select(F.col("row_key").alias("rid"), "has_history"), "rid")

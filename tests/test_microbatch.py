@@ -215,3 +215,20 @@ def test_a_stream_restarted_from_its_checkpoint_repeats_nothing(spark, events, t
         time.sleep(1.1)
     got = {r.row_id: r.login_frequency_today for r in table.collect()}
     assert table.count() == 4 and got == {0: 0, 1: 0, 2: 1, 3: 1}
+
+
+def test_a_chain_of_logins_is_learned_without_judging_all_rows_in_each_round(spark, events, tmp_path, monkeypatch):
+    # a new address passes only from a known system, a new system only from a known address
+    rows, step = [(0, 1, START, dict(ip="0", os_family="0"))], 0
+    for k in range(1, 5):
+        for ip, system in ((k, k - 1), (k, k)):
+            step += 1
+            rows.append((step, 1, START + dt.timedelta(days=step), dict(ip=str(ip), os_family=str(system))))
+    rows.append((50, 1, START + dt.timedelta(days=50), dict(ip="x", os_family="x")))
+    judged = []
+    scored = microbatch._Batch.scored
+    monkeypatch.setattr(microbatch._Batch, "scored", lambda self, facts: judged.append(1) or scored(self, facts))
+    got = _batches(tmp_path, BatchParams(live=live.LiveParams(policy=live.LearnPolicy(everything=False))), events(rows))
+    assert all(got[k].learned and got[k].decision == "allow" for k in range(step + 1))
+    assert not got[50].learned and got[50].score == 32
+    assert len(judged) <= 3
