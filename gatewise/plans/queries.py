@@ -1266,6 +1266,12 @@ def _checked(model: str, rows: DataFrame, label, top: float | None, least_auc: f
     return seen.select(F.lit(model).alias("model"), "*", weak.alias("weak_ranking"))
 
 
+def _far_outside(rows: DataFrame, least: dict[str, int]) -> dict[str, int]:
+    """A value of each feature that is ten times as large as any in ``rows``, and ``least`` at least."""
+    most = rows.agg(*[F.max(n).alias(n) for n in least]).first()
+    return {n: max(v, 10 * (most[n] or 0)) for n, v in least.items()}
+
+
 _MODELS = ("logistic", "boosting", "isolation_forest", "local_outlier_factor", "envelope", "average")
 
 
@@ -1279,8 +1285,8 @@ def _(spark, sf):
     told = F.col("is_night") | F.col("country_change")
     taught, asked = train.withColumn("is_gold", told), test.withColumn("is_gold", told)
     planted = F.col("row_id") % 20 == 0
-    far = {"rapid_login_rate": 400, "login_frequency_today": 4000}
     quiet = train.where("not is_attack_ip")
+    far = _far_outside(train.unionByName(test), {"rapid_login_rate": 400, "login_frequency_today": 4000})
     odd = test.withColumn("is_gold", planted).withColumns({n: F.when(planted, F.lit(v).cast("bigint")).otherwise(F.col(n)) for n, v in far.items()})
     odd = odd.withColumn("is_ato", planted)
     learned = {
