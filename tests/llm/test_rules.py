@@ -102,3 +102,13 @@ def test_every_training_row_ends_in_a_leaf_of_its_own_size():
     few = np.arange(4.0)[:, None]
     forest = rules.grow(few, np.array([[100.0]]))
     assert (forest.score(np.array([[100.0]])) > forest.score(few)).all() and (forest.length >= 0).all()
+
+
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen, limits = [], rules._limits
+    monkeypatch.setattr(rules, "_limits", lambda table: seen.append(table) or limits(table))
+    forest = rules.train(docs, labels, rows=30)
+    judged = rules.counted(docs).join(labels.where(~held_out() & F.col("quality").isin(0, 1)), "doc_id").toPandas()
+    want = (~rules.fails_rules(judged[list(rules.COUNTS)].to_numpy(np.int64))).sum()
+    assert len(forest.limits) == len(rules.BANDS) and seen[0]["n"].sum() == want > 60
