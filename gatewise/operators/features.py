@@ -11,7 +11,8 @@ Windows then run per (user, slot):
                      each with a slot width chosen from its busiest hour;
 2. ``_carry_rows``   per slot: counts so far, last failure, and the first time
                      of every value that occurs in the slot but was seen before;
-3. one exchange of the event table on (user, slot), then local sorts only.
+3. one exchange of the event table on (user, slot), then local sorts only, with as
+   many tasks as keep ``task_rows`` events each: the sorts add up in a task's memory.
 
 Every count is a running sum. The number of events in the last minute is the
 running sum of +1 at an event and -1 a minute later; a sliding frame would
@@ -40,11 +41,13 @@ _CARRIED = {kind: 3 + i for i, kind in enumerate(KINDS)}
 class FeatureParams:
     """``slot_rows``: rows of one user that one task may hold.
     ``max_heavy_share``: bounds the broadcast list of heavy users to its inverse.
+    ``task_rows``: events that a task of the windows gets on average.
     """
 
     risk: RiskParams = field(default_factory=RiskParams)
     slot_rows: int = 1_000_000
     max_heavy_share: float = 1 / 50_000
+    task_rows: int = 100_000
 
 
 def heavy_users(events: DataFrame, params: FeatureParams = FeatureParams()) -> DataFrame:
@@ -154,6 +157,19 @@ def _carry_rows(placed: DataFrame, params: FeatureParams) -> DataFrame:
     return state.unionByName(known, allowMissingColumns=True)
 
 
+def _dealt(rows: DataFrame, events: DataFrame, params: FeatureParams) -> DataFrame:
+    """``rows`` in tasks of about ``task_rows`` events.
+
+    Left alone, tasks grow with the table: Spark merges shuffle partitions up to a size in
+    compressed bytes, many times as large in the sorts. Tables with no more such tasks than
+    cores need no count of their own, as Spark spreads them over all cores.
+    """
+    tasks = -(-events.count() // params.task_rows)
+    if tasks <= events.sparkSession.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(tasks, "_group")
+
+
 def behaviour_features(
     events: DataFrame, params: FeatureParams = FeatureParams(), keep_counts: bool = False
 ) -> DataFrame:
@@ -182,6 +198,7 @@ def behaviour_features(
     rows = arrivals.unionByName(expiries, allowMissingColumns=True).unionByName(
         _carry_rows(placed, params), allowMissingColumns=True
     ).withColumn("_group", F.xxhash64("user_id", "_slot"))
+    rows = _dealt(rows, events, params)
 
     # A hash leads every partition key: Spark's sorter compares the first eight bytes of
     # a row before anything else, and a dominant user's rows all agree on the user id.

@@ -142,3 +142,14 @@ def test_all_rules_sum_to_154(events):
     df = events([*[(i, 1, "2024-01-02 03:00:00", old) for i in range(12)], (50, 1, "2024-01-02 03:00:30", new)])
     r = {x.row_id: x for x in score_events(behaviour_features(df)).collect()}[50]
     assert r.score == 154 and r.level == "critical" and r.decision == "block" and len(r.reasons) == 10
+
+
+def test_window_tasks_follow_the_rows(spark, events):
+    """More rows are more tasks, whatever size Spark would merge shuffle partitions to; the features stay the same."""
+    start = dt.datetime(2024, 1, 1)
+    df = events([(i, i % 40, start + dt.timedelta(minutes=i), dict(ip=str(i % 3))) for i in range(400)])
+    made = behaviour_features(df, FeatureParams(task_rows=20)).withColumn("task", F.spark_partition_id())
+    rows = made.collect()
+    assert len({r.task for r in rows}) > spark.sparkContext.defaultParallelism
+    want = run(df)
+    assert len(rows) == len(want) and all(r[:-1] == tuple(want[r.row_id]) for r in rows)
