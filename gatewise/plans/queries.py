@@ -1079,16 +1079,24 @@ def _(spark, sf):
 _LIVE = dict(slot_rows=400, compact_every=1, buckets=8)
 
 
-def _slices(spark: SparkSession, events: DataFrame, n: int = 2) -> DataFrame:
+# Rows of a slice that one file holds, so that tasks of the live path follow the table.
+_FILE_ROWS = 100_000
+
+
+def _slices(spark: SparkSession, events: DataFrame, n: int = 2, file_rows: int = _FILE_ROWS) -> DataFrame:
     """Stored events as a stream of ``n`` micro-batches, one after the other in time."""
     path, rows = scratch_dir(spark, "slices"), written(events.select(*live.LIVE_COLUMNS), "events")
     bounds = rows.agg(F.percentile_approx("ts", [k / n for k in range(1, n)])).first()[0]
-    edges = [None, *bounds, None]
-    for low, high in zip(edges, edges[1:]):
+    parts = []
+    for low, high in zip([None, *bounds], [*bounds, None]):
         part = rows if low is None else rows.where(F.col("ts") >= F.lit(low))
-        part = part if high is None else part.where(F.col("ts") < F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return live.replay_source(spark, path, rows.schema)
+        parts.append(part if high is None else part.where(F.col("ts") < F.lit(high)))
+    # every slice the same number of files, as a trigger takes so many; none is empty, since rows are dealt in turn
+    files_each = max(1, min(part.count() for part in parts) // file_rows)
+    for part in parts:
+        dealt = part.repartition(files_each) if files_each > 1 else part.coalesce(1)
+        dealt.write.mode("append").parquet(path)
+    return live.replay_source(spark, path, rows.schema, files_per_trigger=files_each)
 
 
 def _run_live(spark, sf, feedback=None, **params) -> tuple[DataFrame, str]:

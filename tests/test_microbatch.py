@@ -10,6 +10,8 @@ from gatewise.functions.risk import FEATURES
 from gatewise.operators import models, scoring
 from gatewise.operators.features import behaviour_features
 from gatewise.operators.slots import even_cuts, running_before, slotted
+from gatewise.plans import queries
+from gatewise.session import scratch_dir
 from gatewise.streaming import live, microbatch
 from gatewise.streaming.history import LOGIN
 from gatewise.streaming.microbatch import BatchParams
@@ -232,3 +234,32 @@ def test_a_chain_of_logins_is_learned_without_judging_all_rows_in_each_round(spa
     assert all(got[k].learned and got[k].decision == "allow" for k in range(step + 1))
     assert not got[50].learned and got[50].score == 32
     assert len(judged) <= 3
+
+
+def test_slices_of_many_files_are_still_one_batch_each(spark, events):
+    start = dt.datetime(2024, 1, 1)
+    rows = events([(i, i % 7, start + dt.timedelta(minutes=i)) for i in range(1000)])
+    rows = rows.select(*[c if c in rows.columns else F.lit(None).cast("string").alias(c) for c in live.LIVE_COLUMNS])
+    seen = []
+
+    def look(batch, batch_id):
+        seen.append((batch.agg(F.min("row_id"), F.max("row_id"), F.count("row_id")).first(), batch.select(F.input_file_name()).distinct().count()))
+
+    stream = queries._slices(spark, rows, file_rows=120)
+    stream.writeStream.foreachBatch(look).option("checkpointLocation", scratch_dir(spark, "slices-test")).trigger(availableNow=True).start().awaitTermination()
+    # 499 or 500 rows a slice, four files of about 125 each
+    (first, files), (second, more) = seen
+    assert files == more == 4
+    assert first[0] == 0 and second[1] == 999 and first[1] + 1 == second[0] and first[2] + second[2] == 1000
+
+
+def test_slot_number_is_the_number_of_cuts_reached(spark):
+    """Cuts of any number, rows at, before and behind them, without a time and of keys without cuts."""
+    lengths = (1, 2, 3, 255, 256, 257, 510, 511, 512)
+    cuts = spark.createDataFrame([(f"={n}", [3 * i for i in range(n)]) for n in lengths], "who string, cuts array<bigint>")
+    keys = spark.createDataFrame([(f"={n}",) for n in (*lengths, 0)], "who string")
+    rows = keys.crossJoin(spark.range(-2, 1540).select(F.col("id").alias("at")).union(spark.sql("select cast(null as bigint)")))
+    for who, at, slot in slotted(rows, cuts, "who", "at").select("who", "at", "_slot").toPandas().astype(object).itertuples(index=False):
+        n = int(who[1:])
+        want = None if n == 0 else 0 if at != at else min(n, max(0, at // 3 + 1))
+        assert (slot != slot) if want is None else slot == want, (who, at, slot)
