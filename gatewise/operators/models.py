@@ -458,24 +458,47 @@ class Envelope:
     skipped: bool
 
 
+def _moments(rows: DataFrame, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, skews and sample covariances of ``names``, doubles, each over the rows that have a value.
+
+    A task adds up its rows around the means and gives one row of sums. As one aggregate the pairs make too much code to compile.
+    """
+    size = len(names)
+    means = rows.agg(*[F.avg(n).alias(n) for n in names]).first()
+    mean = np.array([np.nan if m is None else m for m in means], dtype=float)
+
+    def add(frames):
+        total = np.zeros((3 * size + 1, size))
+        for frame in frames:
+            x = frame.to_numpy(dtype=float) - mean
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(float)
+            total += np.r_[x.T @ x, x.T @ there, there.T @ there, [(x**3).sum(axis=0)]]
+        yield pd.DataFrame({"sums": [total.ravel()]})
+
+    made = rows.select(*names).mapInPandas(add, "sums array<double>").toPandas()["sums"]
+    total = np.sum([np.reshape(t, (3 * size + 1, size)) for t in made] or [np.zeros((3 * size + 1, size))], axis=0)
+    square, own, n, cube = total[:size], total[size : 2 * size], total[2 * size : 3 * size], total[-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = (square - own * own.T / n) / (n - 1)
+        n, shift, second = n.diagonal(), own.diagonal() / n.diagonal(), square.diagonal()
+        skew = np.sqrt(n) * (cube - 3 * shift * second + 2 * n * shift**3) / (second - n * shift**2) ** 1.5
+    return mean, skew, cov
+
+
 def fit_envelope(train: DataFrame, max_skew: float = 2.0, names: tuple[str, ...] = FEATURES) -> Envelope:
     """Gaussian envelope; skipped when a feature is more skewed than ``max_skew``.
 
-    One aggregate gives means, skews and all covariances.
+    One pass gives the means, a second one skews and all covariances.
     """
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    aggs = [F.avg(n).alias(f"m_{n}") for n in names] + [F.skewness(n).alias(f"k_{n}") for n in names]
-    aggs += [F.covar_samp(a, b).alias(f"c_{a}__{b}") for a, b in pairs]
-    row = numeric(train, names).agg(*aggs).first()
-    finite = [n for n in names if row[f"c_{n}__{n}"] and np.isfinite(row[f"c_{n}__{n}"])]
-    worst = max([abs(row[f"k_{n}"]) for n in finite if row[f"k_{n}"] is not None] or [0.0])
+    mean, skew, cov = _moments(numeric(train, names), names)
+    usable = [i for i, v in enumerate(cov.diagonal()) if np.isfinite(v) and v > 0]
+    finite = tuple(names[i] for i in usable)
+    worst = max([abs(float(skew[i])) for i in usable] or [0.0])
     if worst > max_skew or not finite:
-        return Envelope(tuple(finite), (), (), worst, True)
-    cov = np.array([
-        [row[f"c_{min(a, b, key=names.index)}__{max(a, b, key=names.index)}"] for b in finite] for a in finite
-    ])
-    inverse = np.linalg.pinv(cov)
-    return Envelope(tuple(finite), tuple(row[f"m_{n}"] for n in finite),
+        return Envelope(finite, (), (), worst, True)
+    inverse = np.linalg.pinv(cov[np.ix_(usable, usable)])
+    return Envelope(finite, tuple(float(mean[i]) for i in usable),
                     tuple(tuple(float(v) for v in r) for r in inverse), worst, False)
 
 
