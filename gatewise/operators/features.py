@@ -158,15 +158,16 @@ def _carry_rows(placed: DataFrame, params: FeatureParams) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, events: DataFrame, params: FeatureParams) -> DataFrame:
-    """``rows`` in tasks of about ``task_rows`` events.
+    """``rows`` in tasks of at most about ``task_rows`` events.
 
-    Left alone, tasks grow with the table: Spark merges shuffle partitions up to a size in
-    compressed bytes, many times as large in the sorts. Tables with no more such tasks than
-    cores need no count of their own, as Spark spreads them over all cores.
+    Left alone, tasks grow with the table: Spark keeps to the session's number of shuffle
+    partitions and merges them up to a size in compressed bytes, many times as large in the
+    sorts. A table of one such task is left alone; a larger one is dealt to all cores at least.
     """
     tasks = -(-events.count() // params.task_rows)
-    if tasks <= events.sparkSession.sparkContext.defaultParallelism:
+    if tasks <= 1:
         return rows
+    tasks = max(tasks, events.sparkSession.sparkContext.defaultParallelism)
     return rows.repartition(tasks, "_group")
 
 

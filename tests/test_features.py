@@ -1,5 +1,6 @@
 """Sequences by hand, and the split timeline against a plain reading of the definitions."""
 
+import collections
 import datetime as dt
 import random
 
@@ -153,3 +154,22 @@ def test_window_tasks_follow_the_rows(spark, events):
     assert len({r.task for r in rows}) > spark.sparkContext.defaultParallelism
     want = run(df)
     assert len(rows) == len(want) and all(r[:-1] == tuple(want[r.row_id]) for r in rows)
+
+
+def test_window_tasks_with_few_shuffle_partitions(spark, events):
+    """Fewer shuffle partitions than cores make no task larger; a table of one task's rows is left to Spark."""
+    start = dt.datetime(2024, 1, 1)
+    df = events([(i, i % 40, start + dt.timedelta(minutes=i), dict(ip=str(i % 3))) for i in range(400)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        most, tasks = {}, {}
+        for limit in (150, 400):
+            made = behaviour_features(df, FeatureParams(task_rows=limit)).withColumn("task", F.spark_partition_id())
+            rows = made.collect()
+            sizes = collections.Counter(r.task for r in rows)
+            most[limit], tasks[limit] = max(sizes.values()), len(sizes)
+            assert len(rows) == 400
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks[150] > 1 and most[150] < 300 and tasks[400] == 1
