@@ -961,8 +961,8 @@ def _login_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored logins as a stream for the path by user: no micro-batch holds all rows of a busy user."""
     raw, path = read_logins(spark, sf_dir), scratch_dir(spark, "by-user")
-    live.user_slices(raw, path, text.to_long(F.col("user_id")), text.micros(text.to_timestamp_ntz(F.col("ts"))))
-    return clean(live.replay_source(spark, path, raw.schema))
+    _, files = live.spread_slices(raw, path, text.to_long(F.col("user_id")), text.micros(text.to_timestamp_ntz(F.col("ts"))))
+    return clean(live.replay_source(spark, path, raw.schema, files_per_trigger=files))
 
 
 def _live_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,15 @@ from gatewise.operators.scoring import score_events
 from gatewise.operators.slots import even_cuts, slotted
 from gatewise.session import written
 from gatewise.streaming.history import CONFIRM, FACTS, LOGIN, LearnPolicy, LoginHistory
+from gatewise.streaming.packed import pack, unpack
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of one user that a replay hands to one micro-batch of the path by user.
-SLICE_ROWS = 400_000
+SLICE_ROWS = 600_000
+#: Rows of a slice that one file holds, so that the tasks which read and clean a slice follow its rows.
+FILE_ROWS = 100_000
+#: Buckets that users are hashed to; part of the stored state, so a checkpoint is only good for one number.
+BUCKETS = 256
 LIVE_COLUMNS = ("row_id", "user_id", "ts", "login_success", "is_attack_ip", "is_ato", *KINDS.values())
 
 
@@ -45,20 +50,35 @@ def user_slices(rows: DataFrame, path: str, user: Column, at: Column, slice_rows
     read and written once per user and trigger, so all other users lie whole in one file, dealt by hash. Order between
     users means nothing there. Rows without a time have no history and are dealt to any file.
     """
+    return spread_slices(rows, path, user, at, slice_rows, None)[0]
+
+
+def spread_slices(rows: DataFrame, path: str, user: Column, at: Column, slice_rows: int = SLICE_ROWS,
+                  file_rows: int | None = FILE_ROWS) -> tuple[int, int]:
+    """:func:`user_slices` with a file per ``file_rows`` rows of a slice; returns the slices and the files of each.
+
+    A trigger must take all files of one slice, so every slice has the same number of them.
+    """
     who = F.coalesce(F.concat(F.lit("="), user.cast("string")), F.lit("-"))
-    placed = written(rows.withColumns({"_who": who, "_at": at}), "rows")
-    cuts = written(even_cuts(placed, "_who", "_at", slice_rows), "cuts")
+    placed = rows.withColumns({"_who": who, "_at": at})
+    keys = written(placed.select("_who", "_at"), "keys")
+    cuts = written(even_cuts(keys, "_who", "_at", slice_rows), "cuts")
     most = cuts.agg(F.max(F.size("cuts"))).first()[0] or 0
-    number = max(most + 1, -(-placed.count() // (4 * slice_rows)))
+    number = max(most + 1, -(-keys.count() // (4 * slice_rows)))
     any_file = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(number)).cast("int")
     timed = F.when(F.col("_at").isNotNull(), F.col("_slot"))
     own = F.when(F.col("_slot").isNull(), any_file("_who")).otherwise(F.coalesce(timed, any_file(*rows.columns)))
     dealt = slotted(placed, cuts, "_who", "_at").withColumn("_slice", own).select(*rows.columns, "_slice")
     dealt = dealt.repartition(4 * number, "_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
     table = written(dealt, "slices", partition_by="_slice")
+    files = 1
+    if file_rows:  # no file is empty, since rows are dealt in turn
+        held = {r["_slice"]: r["count"] for r in table.groupBy("_slice").count().collect()}
+        files = max(1, min(held.get(k, 0) for k in range(number)) // file_rows)
     for k in range(number):  # the file source takes files in the order in which they were written
-        table.where(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(path)
-    return number
+        part = table.where(F.col("_slice") == k).drop("_slice")
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return number, files
 
 
 def confirmations(rows: DataFrame) -> DataFrame:
@@ -69,9 +89,9 @@ def confirmations(rows: DataFrame) -> DataFrame:
 def live_facts(logins: DataFrame, params: LiveParams = LiveParams(), feedback: DataFrame | None = None) -> DataFrame:
     """Clean logins (stream) plus what the user's profile held before each of them.
 
-    State is keyed by user and kept in RocksDB, one map per kind of value, so a
-    profile with many addresses is not read as a whole. Feedback rows travel in the
-    same keyed stream. Every login is scored: one without a time has no history and
+    State is keyed by bucket and user and kept in RocksDB; of a profile with many addresses only a part lies in the
+    user's own row, so it is not read as a whole. A bucket is one call, so that users of few logins share its cost.
+    Feedback rows travel in the same keyed stream. Every login is scored: one without a time has no history and
     teaches nothing, as in the batch job, and nothing a client sends leads past the state.
     """
     logins.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
@@ -79,13 +99,16 @@ def live_facts(logins: DataFrame, params: LiveParams = LiveParams(), feedback: D
     if feedback is not None:
         rows = rows.unionByName(feedback.select(*LIVE_COLUMNS, "row_kind"))
     rows = rows.withColumn("at_us", micros(F.col("ts")))
-    # pandas drops names with a leading underscore from the rows it hands over
     columns = (*LIVE_COLUMNS, "row_kind", "at_us")
     schema = T.StructType([rows.schema[c] for c in columns] + list(FACTS))
-    return rows.groupBy("user_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    packed = rows.select(bucket, *columns).mapInArrow(pack, "bucket int, packed binary")
+    told = packed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=LoginHistory(params.risk, params.policy, columns),
-        outputStructType=schema, outputMode="Append", timeMode="None",
+        outputStructType="packed binary", outputMode="Append", timeMode="None",
     )
+    # a busy user's answers are one task's; what follows is shared by all cores
+    return told.repartition(logins.sparkSession.sparkContext.defaultParallelism).mapInArrow(unpack, schema)
 
 
 def features_from_facts(facts: DataFrame, params: RiskParams, *further: str) -> DataFrame:
