@@ -69,7 +69,7 @@ def spread_slices(rows: DataFrame, path: str, user: Column, at: Column, slice_ro
     timed = F.when(F.col("_at").isNotNull(), F.col("_slot"))
     own = F.when(F.col("_slot").isNull(), any_file("_who")).otherwise(F.coalesce(timed, any_file(*rows.columns)))
     dealt = slotted(placed, cuts, "_who", "_at").withColumn("_slice", own).select(*rows.columns, "_slice")
-    dealt = dealt.repartition(4 * number, "_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(4)))
+    dealt = dealt.repartition(8 * number, "_slice", F.pmod(F.xxhash64(*rows.columns), F.lit(8)))
     table = written(dealt, "slices", partition_by="_slice")
     files = 1
     if file_rows:  # no file is empty, since rows are dealt in turn
